@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.entity_names import entity_pairs, link_names
+from tidemark.llm.gazetteer import place_ids
+from tidemark.operators.packed import explode_pieces
+from tidemark.plans.problems import location_pieces
 from tidemark.session import table
 
 
@@ -15,5 +18,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity_pairs(link_names(names[0].unionByName(names[1]).unionByName(names[2]), "name"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = explode_pieces(location_pieces(spark, sf_dir), "pieces", "pos", "value")
+    lever = table(spark, sf_dir, "lever_postings").where("posting_id IS NOT NULL").groupBy(F.col("posting_id").cast("string").alias("rec_id")).agg(F.max(F.struct("fetched_at", F.col("categories.location_name").alias("value"))).alias("r"))
+    feed = table(spark, sf_dir, "list_feed").where("item_uuid IS NOT NULL").groupBy(F.col("item_uuid").cast("string").alias("rec_id")).agg(F.max(F.struct("fetched_at", "locations")).alias("r"))
+    values = (
+        packed.unionByName(lever.select(F.lit("lever_postings").alias("src"), "rec_id", F.lit(0).alias("pos"), F.col("r.value").alias("value")))
+        .unionByName(feed.select(F.lit("list_feed").alias("src"), "rec_id", F.posexplode("r.locations").alias("pos", "value")))
+    )
+    return values.where("value IS NOT NULL").select("src", "rec_id", "pos", place_ids(F.col("value"), table(spark, sf_dir, "places")).alias("place_id"))
+
+
 QUERIES = {name: value for name, value in dict(globals()).items() if name[0] == "p" and name[1:2].isdigit()}
 ORACLES: dict[str, str] = {}
