@@ -22,6 +22,7 @@ Defined results
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable
 
 import pandas as pd
@@ -188,7 +189,7 @@ def reference_rows(places: DataFrame) -> list[tuple]:
     return sorted(tuple(r) for r in rows)
 
 
-_BUILT: dict[int, tuple[Gazetteer, dict[str, int]]] = {}
+_BUILT: dict[str, tuple[Gazetteer, dict[str, int]]] = {}
 #: Values remembered per worker.
 REMEMBERED = 200_000
 
@@ -196,7 +197,7 @@ REMEMBERED = 200_000
 def place_ids(value: Column, places: DataFrame) -> Column:
     """bigint: the place_id that a typed value means, -1 if none, null for null."""
     shared = places.sparkSession.sparkContext.broadcast(reference_rows(places))
-    name = shared.id
+    name = uuid.uuid4().hex
 
     @F.pandas_udf("bigint")
     def find(values: pd.Series) -> pd.Series:
