@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.entity_names import entity_pairs, link_names
 from tidemark.llm.gazetteer import place_ids
+from tidemark.llm.leakage import leaks, test_items
 from tidemark.operators.packed import explode_pieces
 from tidemark.plans.problems import location_pieces
 from tidemark.session import table
@@ -29,5 +30,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.where("value IS NOT NULL").select("src", "rec_id", "pos", place_ids(F.col("value"), table(spark, sf_dir, "places")).alias("place_id"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = test_items(table(spark, sf_dir, "eval_items"), "item_id", "item_text")
+    return leaks(table(spark, sf_dir, "documents").where("doc_id IS NOT NULL"), "doc_id", "text", items).distinct()
+
+
 QUERIES = {name: value for name, value in dict(globals()).items() if name[0] == "p" and name[1:2].isdigit()}
 ORACLES: dict[str, str] = {}
