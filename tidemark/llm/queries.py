@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.entity_names import entity_pairs, link_names
 from tidemark.llm.gazetteer import place_ids
 from tidemark.llm.leakage import leaks, test_items
+from tidemark.llm.truncation import cut_texts
 from tidemark.operators.packed import explode_pieces
 from tidemark.plans.problems import location_pieces
 from tidemark.session import table
@@ -35,5 +36,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents").where("doc_id IS NOT NULL"), "doc_id", "text", items).distinct()
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_texts(table(spark, sf_dir, "documents"), "doc_id", "text", "source", "board_token").select("doc_id").distinct()
+
+
 QUERIES = {name: value for name, value in dict(globals()).items() if name[0] == "p" and name[1:2].isdigit()}
 ORACLES: dict[str, str] = {}
