@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.entity_names import entity_pairs, link_names
 from tidemark.llm.gazetteer import place_ids
 from tidemark.llm.leakage import leaks, test_items
+from tidemark.llm.packing import TOKENIZER, pack, token_counts
 from tidemark.llm.truncation import cut_texts
 from tidemark.operators.packed import explode_pieces
 from tidemark.plans.problems import location_pieces
@@ -40,5 +41,14 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_texts(table(spark, sf_dir, "documents"), "doc_id", "text", "source", "board_token").select("doc_id").distinct()
 
 
+#: Tokens that a container holds.
+CONTAINER = 2048
+
+
+def p7_containers(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    sizes = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", token_counts(F.col("text"), tokenizer).alias("size"))
+    return pack(sizes, "doc_id", "size", CONTAINER).select(F.col("item").alias("doc_id"), F.col("piece").alias("piece_no"), "n_tokens", F.col("container").alias("container_id"))
+
+
 QUERIES = {name: value for name, value in dict(globals()).items() if name[0] == "p" and name[1:2].isdigit()}
 ORACLES: dict[str, str] = {}
