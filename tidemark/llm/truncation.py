@@ -45,7 +45,7 @@ ENDS_SHARE = 0.05
 #: Contexts kept in a worker before it hands them on.
 HELD = 400_000
 
-_MARKS = re.compile(r"(?:(?:…|\.\.\.) ?\(?(?:read |see |show )?more\)?|(?:…|\.\.\.) ?continue(?:d| reading)|…|\.\.\.|\[(?:\.\.\.|…|truncated|more|cut|continued)\]|\((?:truncated|continued|more)\)|�|[^\W\d_]-|[,;&\\/(\[{<–—=]|&#?\w{1,7}|<[^<>\n]{1,80}|\\u[0-9a-fA-F]{0,4})$", re.I)
+_MARKS = re.compile(r"(?:(?:…|\.\.\.) ?\(?(?:read |see |show )?more\)?|(?:…|\.\.\.) ?continue(?:d| reading)|…|\.\.\.|\[(?:\.\.\.|…|truncated|more|cut|continued)\]|\((?:truncated|continued|more)\)|�|[^\W\d_]-|[,;&\\/(\[{<–—=]|&(?:#\w{0,7}|amp?|lt|gt|quot?|nbsp?|apos?)|<[^<>\n]{1,80}|\\u[0-9a-fA-F]{0,4})$", re.I)
 _TERMINAL = re.compile(r"[.!?。！？]['\"”’»)\]*_]*$|[)\]\"”’»]$")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
 _BULLET = re.compile(r"^\s*(?:[-*•–·]|\d{1,2}[.)])\s+")
@@ -107,23 +107,24 @@ def ending(text: str | None, common: frozenset[str], owner: str | None = None) -
     return "open", _h(tuple(words[-3:])), _h(tuple(words[-2:])), len(_SENTENCE.split(line)) > 1 or words[-1] == "<x>", not _BULLET.match(line)
 
 
-def lengths(text: Column) -> dict[str, Column]:
-    """The text's length under each encoding."""
-    n, utf8 = F.length(text), F.octet_length(text)
-    astral = n - F.length(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", ""))
-    count = lambda chars: n - F.length(F.translate(text, chars, ""))
-    lines, amp, angle, quote = count("\n"), count("&"), count("<>"), count('"')
-    escaped = amp * 4 + angle * 3
-    json = count('"\\') + lines + count("\t\r")
-    return {
-        "characters": n, "utf8": utf8, "utf16": n + astral, "characters_crlf": n + lines, "utf8_crlf": utf8 + lines, "entities": n + escaped, "entities_utf8": utf8 + escaped,
-        "entities_quotes": n + escaped + quote * 5, "entities_crlf": n + escaped + lines, "json": n + json, "json_utf8": utf8 + json, "json_ascii": n + astral + (n - F.length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))) * 5 + json,
-    }
+# The encodings of lengths(), in its order.
+ENCODINGS = ["characters", "utf8", "utf16", "characters_crlf", "utf8_crlf", "entities", "entities_utf8", "entities_quotes", "entities_crlf", "json", "json_utf8", "json_ascii"]
 
 
-def hidden_limits(texts: DataFrame, text: str, source: str) -> DataFrame:
-    """source, encoding, length of every field limit, by the lengths alone."""
-    by = texts.select(F.col(f"`{source}`").alias("source"), F.explode(F.create_map(*[x for k, v in lengths(F.col(f"`{text}`")).items() for x in (F.lit(k), v)])).alias("encoding", "length"))
+def lengths(text: str) -> list[int]:
+    """The text's length under each of ENCODINGS."""
+    n = len(text)
+    utf8 = n if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+    astral = 0 if utf8 == n else len(text.encode("utf-16-le", "surrogatepass")) // 2 - n
+    wide = 0 if utf8 == n else sum(c > "\x7f" for c in text)
+    lines, amp, angle, quote = text.count("\n"), text.count("&"), text.count("<") + text.count(">"), text.count('"')
+    escaped, json = amp * 4 + angle * 3, quote + text.count("\\") + lines + text.count("\t") + text.count("\r")
+    return [n, utf8, n + astral, n + lines, utf8 + lines, n + escaped, utf8 + escaped, n + escaped + quote * 5, n + escaped + lines, n + json, utf8 + json, n + astral + (wide + astral) * 5 + json]
+
+
+def hidden_limits(sized: DataFrame) -> DataFrame:
+    """source, encoding, length of every field limit, by the lengths alone. sized: source, sizes as lengths() gives them."""
+    by = sized.select("source", F.posexplode("sizes").alias("encoding", "length"))
     counts = by.groupBy("source", "encoding", "length").count()
     near = Window.partitionBy("source", "encoding").orderBy("length").rangeBetween(-LIMIT_AROUND, LIMIT_AROUND)
     around = counts.withColumn("around", (F.sum("count").over(near) - F.col("count")) / (2 * LIMIT_AROUND))
@@ -189,13 +190,13 @@ def cut_texts(texts: DataFrame, doc_id: str, text: str, source: str, owner: str
     texts = texts.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").alias("source"), signed.alias("owner")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     shared = texts.sparkSession.sparkContext.broadcast(common_words(texts, "text"))
 
-    @F.pandas_udf("struct<status string, h3 long, h2 long, prose boolean, plain boolean>")
+    @F.pandas_udf("struct<status string, h3 long, h2 long, prose boolean, plain boolean, sizes array<int>>")
     def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for bodies, owners in batches:
-            yield pd.DataFrame([ending(t, shared.value, o) for t, o in zip(bodies, owners)], columns=["status", "h3", "h2", "prose", "plain"]).astype({"h3": "Int64", "h2": "Int64"})
+            yield pd.DataFrame([(*ending(t, shared.value, o), lengths(t)) for t, o in zip(bodies, owners)], columns=["status", "h3", "h2", "prose", "plain", "sizes"]).astype({"h3": "Int64", "h2": "Int64"})
 
-    sizes = F.struct(*[v.alias(k) for k, v in lengths(F.col("text")).items()])
-    ends = cut(texts.select("doc_id", "source", read("text", "owner").alias("e"), sizes.alias("size"), F.md5("text").alias("copy")).select("doc_id", "source", "e.*", "size", "copy").where("status <> 'complete' AND status <> 'none'"))
+    every = cut(texts.select("doc_id", "source", read("text", "owner").alias("e"), F.md5("text").alias("copy")).select("doc_id", "source", "e.*", "copy"))
+    ends = every.where("status IN ('open', 'cut')")
     counts = texts.select("text").mapInPandas(_contexts(shared), "h long, bare long, stopped long, more long").groupBy("h").agg(F.sum("bare").alias("bare"), F.sum("stopped").alias("stopped"), F.sum("more").alias("more"))
     # open endings by context, copies once
     finals = ends.where("status = 'open'").select(F.explode(F.array("h3", "h2")).alias("h"), "copy").distinct().groupBy("h").agg(F.count("*").alias("final"))
@@ -212,8 +213,8 @@ def cut_texts(texts: DataFrame, doc_id: str, text: str, source: str, owner: str
 
     unseen = F.col("bare3") + F.col("stopped3") + F.col("more3") == 0
     complete = ~F.col("prose") & (is_ending(3) | (unseen & (F.col("final3") < 3) & is_ending(2)))
-    limits = hidden_limits(texts, "text", "source")
-    at = judged.where("status = 'open'").select("doc_id", "source", F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in lengths(F.lit(""))]), F.array(*[F.col(f"size.{k}") for k in lengths(F.lit(""))]))).alias("encoding", "length"))
+    limits = hidden_limits(every)
+    at = judged.where("status = 'open'").select("doc_id", "source", F.posexplode("sizes").alias("encoding", "length"))
     # limits are few: a source has at most one for every LIMIT_TEXTS of its lengths
     limited = at.join(limits.withColumnRenamed("source", "s"), F.expr("source <=> s") & (at.encoding == limits.encoding) & (at.length == limits.length), "left_semi").select("doc_id").distinct().withColumn("limited", F.lit(True))
     judged = judged.join(limited, "doc_id", "left")
