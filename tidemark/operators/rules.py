@@ -62,5 +62,5 @@ def titled(normalized: Column, targets: list[str], exclude: list[str]) -> tuple[
 
 def fresh(seconds: Column, now: int, max_days: int) -> Column:
     """Age in whole days, never negative, against a limit."""
-    age = F.floor(F.greatest(F.lit(0).cast("bigint"), F.lit(now).cast("bigint") - seconds) / 86400)
+    age = F.when(seconds.isNotNull(), F.floor(F.greatest(F.lit(0).cast("bigint"), F.lit(now).cast("bigint") - seconds) / 86400))
     return tri(age <= max_days)

@@ -19,7 +19,7 @@ def upsert(state: DataFrame, seen: DataFrame, key: list[str], content: str, now:
 
     seen has key and content, one row per key; state has key, content, first_seen, last_seen, closed_at, missed.
     """
-    both = state.alias("o").join(seen.alias("n").withColumn("here", F.lit(True)), key, "full")
+    both = state.alias("o").join(seen.withColumn("here", F.lit(True)).alias("n"), key, "full")
     here, known = F.col("n.here").isNotNull(), F.col("o.first_seen").isNotNull()
     status = F.when(~here, None).when(~known, "new").when(F.col("o.closed_at").isNotNull(), "reopened").when(~F.col(f"o.{content}").eqNullSafe(F.col(f"n.{content}")), "updated").otherwise("unchanged")
     return both.select(

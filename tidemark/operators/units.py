@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import free_name
+
 
 @dataclass(frozen=True)
 class Affine:
@@ -65,10 +67,10 @@ def shortest_compositions(edges: Iterable[Edge], target: str) -> dict[str, Affin
     return found
 
 
-def conversion_table(spark: SparkSession, compositions: dict[str, Affine], unit: str) -> DataFrame:
-    """unit, a, b as decimals, for convert()."""
+def conversion_table(spark: SparkSession, compositions: dict[str, Affine]) -> DataFrame:
+    """unit, factor, shift as decimals, for convert()."""
     rows = [(u, f"{float(f.a):.12f}" if f.a.denominator != 1 else str(f.a.numerator), str(float(f.b))) for u, f in compositions.items()]
-    return spark.createDataFrame(rows, f"{unit} string, a string, b string").select(unit, F.col("a").cast("decimal(20,12)"), F.col("b").cast("decimal(20,6)"))
+    return spark.createDataFrame(rows, "unit string, factor string, shift string").select("unit", F.col("factor").cast("decimal(20,12)"), F.col("shift").cast("decimal(20,6)"))
 
 
 def convert(df: DataFrame, conversions: DataFrame, unit: str, values: dict[str, str]) -> DataFrame:
@@ -76,9 +78,11 @@ def convert(df: DataFrame, conversions: DataFrame, unit: str, values: dict[str,
 
     The conversions are as many as there are units, thousands of rows at most, so they are broadcast.
     """
-    joined = df.join(F.broadcast(conversions), unit, "left")
-    exact = lambda v: F.col(v).cast("decimal(20,4)") * F.col("a") + F.col("b")
-    return joined.withColumns({out: exact(v) for out, v in values.items()}).drop("a", "b")
+    key, factor, shift = (free_name(df, f"_u_{c}") for c in ("unit", "factor", "shift"))
+    small = conversions.select(F.col("unit").alias(key), F.col("factor").alias(factor), F.col("shift").alias(shift))
+    joined = df.join(F.broadcast(small), df[unit] == small[key], "left")
+    exact = lambda v: F.col(f"`{v}`").cast("decimal(20,4)") * F.col(factor) + F.col(shift)
+    return joined.withColumns({out: exact(v) for out, v in values.items()}).drop(key, factor, shift)
 
 
 # Spellings of currencies.

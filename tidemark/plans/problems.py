@@ -98,7 +98,7 @@ def stated_pay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = usd_rates(spark, sf_dir)
-    conversions = conversion_table(spark, shortest_compositions(money_period_edges(rates), "USD|one|year"), "unit")
+    conversions = conversion_table(spark, shortest_compositions(money_period_edges(rates), "USD|one|year"))
     rows = stated_pay(spark, sf_dir)
     read = rows.withColumn("said", pay_facts(F.col("text"), rates)).drop("text").withColumn("own", unit_parts(F.col("currency"), F.col("period"), rates))
     has = F.col("low").isNotNull() | F.col("high").isNotNull()
