@@ -16,7 +16,7 @@ sign-offs do, or are always followed by more words, like the middle of a sentenc
 Defined results
   null, empty and white-space texts             → not cut, they have no ending
   complete text exactly as long as a limit      → not cut
-  text at a limit without terminal punctuation  → cut
+  text at a limit without terminal punctuation  → cut, as is one at a limit with white space behind it
   copies of a text                              → count once in the statistics of endings
   very long texts                               → read whole
   null source, null owner                       → a source of its own, no owner
@@ -84,9 +84,9 @@ def _is_signature(line: str, common: frozenset[str], owner: str) -> bool:
 
 
 def ending(text: str | None, common: frozenset[str], owner: str | None = None) -> tuple[str, int | None, int | None, bool, bool]:
-    """('none' | 'cut' | 'complete' | 'open', hashes of the last three and two words, whether no line can end so, whether the line is a plain one).
+    """('none' | 'cut' | 'complete' | 'padded' | 'open', hashes of the last three and two words, whether no line can end so, whether the line is a plain one).
 
-    No line ends so: sentences stand before it in its line, or its last word is a rare one.
+    padded: complete, with white space behind it. No line ends so: sentences stand before it in its line, or its last word is a rare one.
     """
     bare = text.rstrip() if text else ""
     if not bare:
@@ -94,7 +94,7 @@ def ending(text: str | None, common: frozenset[str], owner: str | None = None) -
     if _MARKS.search(bare):
         return "cut", None, None, False, False
     if _TERMINAL.search(bare):
-        return "complete", None, None, False, False
+        return "complete" if bare == text else "padded", None, None, False, False
     line = bare.rsplit("\n", 1)[-1]
     if _is_signature(line, common, "".join(_TOKEN.findall(fold(owner))) if owner else ""):
         return "complete", None, None, False, False
@@ -196,7 +196,7 @@ def cut_texts(texts: DataFrame, doc_id: str, text: str, source: str, owner: str
             yield pd.DataFrame([(*ending(t, shared.value, o), lengths(t)) for t, o in zip(bodies, owners)], columns=["status", "h3", "h2", "prose", "plain", "sizes"]).astype({"h3": "Int64", "h2": "Int64"})
 
     every = cut(texts.select("doc_id", "source", read("text", "owner").alias("e"), F.md5("text").alias("copy")).select("doc_id", "source", "e.*", "copy"))
-    ends = every.where("status IN ('open', 'cut')")
+    ends = every.where("status IN ('open', 'cut', 'padded')")
     counts = texts.select("text").mapInPandas(_contexts(shared), "h long, bare long, stopped long, more long").groupBy("h").agg(F.sum("bare").alias("bare"), F.sum("stopped").alias("stopped"), F.sum("more").alias("more"))
     # open endings by context, copies once
     finals = ends.where("status = 'open'").select(F.explode(F.array("h3", "h2")).alias("h"), "copy").distinct().groupBy("h").agg(F.count("*").alias("final"))
@@ -214,11 +214,11 @@ def cut_texts(texts: DataFrame, doc_id: str, text: str, source: str, owner: str
     unseen = F.col("bare3") + F.col("stopped3") + F.col("more3") == 0
     complete = ~F.col("prose") & (is_ending(3) | (unseen & (F.col("final3") < 3) & is_ending(2)))
     limits = hidden_limits(every)
-    at = judged.where("status = 'open'").select("doc_id", "source", F.posexplode("sizes").alias("encoding", "length"))
+    at = judged.where("status IN ('open', 'padded')").select("doc_id", "source", F.posexplode("sizes").alias("encoding", "length"))
     # limits are few: a source has at most one for every LIMIT_TEXTS of its lengths
     limited = at.join(limits.withColumnRenamed("source", "s"), F.expr("source <=> s") & (at.encoding == limits.encoding) & (at.length == limits.length), "left_semi").select("doc_id").distinct().withColumn("limited", F.lit(True))
     judged = judged.join(limited, "doc_id", "left")
-    reason = F.when(F.col("status") == "cut", "mark").when(F.col("limited"), "limit").when(~complete, "ending")
+    reason = F.when(F.col("status") == "cut", "mark").when(F.col("limited"), "limit").when((F.col("status") == "open") & ~complete, "ending")
     return judged.select("doc_id", "source", reason.alias("reason")).where("reason IS NOT NULL")
 
 
