@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.units import Affine, PayReader, conversion_table, convert, currency_of, money_period_edges, number_of, pay_facts, period_of, shortest_compositions, unit_parts
 
-CODES = ["USD", "EUR", "GBP", "SEK", "JPY", "AUD"]
+CODES = ["USD", "EUR", "GBP", "SEK", "JPY", "AUD", "INR"]
 
 
 def test_affine_paths_and_cycles():
@@ -32,6 +32,7 @@ def test_conversion_join(spark):
 @pytest.mark.parametrize(("text", "want"), [
     ("Pay: $390 - $540 a day", (None, None, "one", 390.0, 540.0, "USD", "day")), ("Compensation: 55,25 €–61,50 € an hour.", (None, None, "one", 55.25, 61.5, "EUR", "hour")),
     ("Expected base pay is 88.000 €-126.000 € /yr, plus benefits", (None, None, "one", 88000.0, 126000.0, "EUR", "year")), ("We offer from £20k per annum depending on level.", (None, None, "one", 20000.0, None, "GBP", "year")),
+    ("We offer ₹1.5–₹2 lakh p.a. depending on level.", (None, None, "one", 150000.0, 200000.0, "INR", "year")), ("Pay: 160 to 180 USD day rate", (None, None, "one", 160.0, 180.0, "USD", "day")), ("All figures are in lakhs.", (None, None, "lakh", None, None, None, None)),
     ("Compensation: up to $92,000 p.a..", (None, None, "one", None, 92000.0, "USD", "year")), ("Pay: 1700k to 2500k SEK annually", (None, None, "one", 1.7e6, 2.5e6, "SEK", "year")),
     ("You will be paid in EUR; the stated range is /mo.", ("EUR", "month", "one", None, None, None, None)), ("Pay is quoted biweekly (every two weeks).", (None, "two_weeks", "one", None, None, None, None)),
     ("(pay values in hundredths of a yen) We closed a $30 million round last spring.", (None, None, "hundredth", None, None, None, None)), ("Range shown in thousands.", (None, None, "thousand", None, None, None, None)),

@@ -95,8 +95,8 @@ CURRENCY_NAMES = {
 }
 # Spellings of pay periods.
 PERIOD_NAMES = {
-    "hour": ["hour", "hr", "h", "hourly", "1 hour", "/hr", "/hour", "per hour", "an hour", "per-hour-wage"],
-    "day": ["day", "daily", "1 day", "/day", "per day", "a day", "daily-rate", "per-day-wage"],
+    "hour": ["hour", "hr", "h", "hourly", "1 hour", "/hr", "/hour", "per hour", "an hour", "hourly rate", "per-hour-wage"],
+    "day": ["day", "daily", "1 day", "/day", "per day", "a day", "daily-rate", "day rate", "daily rate", "per-day-wage"],
     "week": ["week", "wk", "weekly", "1 week", "/wk", "/week", "per week", "a week", "per-week-salary"],
     "two_weeks": ["two_weeks", "two weeks", "2 week", "2 weeks", "fortnight", "fortnightly", "biweekly", "bi-weekly", "every two weeks", "per two weeks", "per fortnight", "a fortnight", "per-two-weeks-salary", "bi-weekly (every two weeks)", "biweekly (every two weeks)"],
     "month": ["month", "mo", "monthly", "1 month", "/mo", "/month", "per month", "a month", "per-month-salary"],
@@ -105,6 +105,8 @@ PERIOD_NAMES = {
 }
 # How many periods make a year.
 PERIODS_A_YEAR = {"hour": 2080, "day": 260, "week": 52, "two_weeks": 26, "month": 12, "quarter": 4, "year": 1}
+# Words behind an amount that multiply it.
+MULTIPLIERS = {"k": 1000, "lakh": 100_000, "lakhs": 100_000, "lac": 100_000, "lacs": 100_000, "crore": 10_000_000, "crores": 10_000_000}
 # Words for the hundredth part of a currency.
 HUNDREDTHS = ["cents", "pence", "paise", "öre", "rappen", "centimes", "hundredths", "minor units"]
 
@@ -112,7 +114,7 @@ HUNDREDTHS = ["cents", "pence", "paise", "öre", "rappen", "centimes", "hundredt
 def money_period_edges(usd_per_unit: dict[str, Fraction]) -> list[Edge]:
     """Edges between units such as 'EUR|thousand|month'; the canonical unit is 'USD|one|year'."""
     edges: list[Edge] = []
-    scales = {"thousand": Fraction(1000), "hundredth": Fraction(1, 100)}
+    scales = {"thousand": Fraction(1000), "hundredth": Fraction(1, 100), "lakh": Fraction(100_000), "crore": Fraction(10_000_000)}
     for currency, rate in usd_per_unit.items():
         for period, n in PERIODS_A_YEAR.items():
             at = lambda c=currency, s="one", p=period: f"{c}|{s}|{p}"
@@ -173,7 +175,7 @@ class PayReader:
         spoken = [s for s in _PERIOD_OF if not re.fullmatch(r"h|hr|mo|wk|yr|pa|p\.a|annual|annum|hour|day|week|month|quarter|year|\d+ \w+|.*-(?:wage|salary|rate)|two_weeks", s)]
         per = rf"(?<![\w])(?:{_any(spoken)})(?!\w)"
         num = r"\d[\d.,'’  ]*(?:[  ]\d{3}(?!\d))*"
-        one = lambda n, before, after: rf"(?:(?P<c{before}>{cur})\s?)?(?P<n{n}>{num})\s?(?P<k{n}>[kK](?!\w))?(?:\s?(?P<c{after}>{cur}))?"
+        one = lambda n, before, after: rf"(?:(?P<c{before}>{cur})\s?)?(?P<n{n}>{num})\s?(?P<k{n}>(?:{_any(MULTIPLIERS)})(?!\w))?(?:\s?(?P<c{after}>{cur}))?"
         first, second = one(1, 1, 2), one(2, 3, 4)
         self.statement = re.compile(rf"(?P<only>\bfrom\s+|\bup to\s+|\bat least\s+|\bstarting at\s+)?{first}(?:\s*(?:[-–—]|\bto\b|\band\b)\s*{second})?(?:,?\s*(?P<p>{per}))?", re.I)
         self.cur, self.per = re.compile(cur, re.I), re.compile(per, re.I)
@@ -181,6 +183,7 @@ class PayReader:
         self.head = re.compile(r"\b(?:range|figures?|rates?|amounts?|numbers|quoted|we pay|paid in|compensation|salary|base pay|pay values?|pay:|we offer)\b|\bpay:", re.I)
         self.noise = re.compile(r"\b(?:budget|stipend|pass|round|million|billion|bonus|equity|allowance|fund(?:ing|s)?|reimburse\w*|raised|revenue|turnover)\b", re.I)
         self.thousands = re.compile(r"\bin (?:thousands|k)\b|'000", re.I)
+        self.larger = re.compile(r"\bin (?:lakhs?|lacs?|crores?)\b", re.I)
         self.hundredths = re.compile(rf"\bin (?:{_any(HUNDREDTHS)})(?!\w)", re.I)
 
     def code(self, text: str | None) -> str | None:
@@ -199,6 +202,9 @@ class PayReader:
             if self.thousands.search(sentence):
                 scale = "thousand"
                 continue
+            if m := self.larger.search(sentence):
+                scale = "crore" if m[0].lower().endswith(("crore", "crores")) else "lakh"
+                continue
             if self.hundredths.search(sentence):
                 scale = "hundredth"
                 continue
@@ -207,9 +213,10 @@ class PayReader:
                     code = self.code(m["c1"] or m["c2"] or m["c3"] or m["c4"])
                     if stated is None and code and m["p"]:
                         low, high = number_of(m["n1"]), number_of(m["n2"]) if m["n2"] else None
-                        k1 = m["k1"] or (m["k2"] if m["n2"] and low is not None and high is not None and low < 1000 else None)
-                        low = low * 1000 if low is not None and k1 else low
-                        high = high * 1000 if high is not None and m["k2"] else high
+                        # "120–150 lakh": one multiplier stands for both bounds
+                        k1 = m["k1"] or (m["k2"] if m["n2"] and low is not None and low < 1000 else None)
+                        times = lambda v, k: v * MULTIPLIERS[k.lower()] if v is not None and k else v
+                        low, high = times(low, k1), times(high, m["k2"])
                         if not m["n2"]:
                             word = (m["only"] or "").strip().lower()
                             low, high = (None, low) if word == "up to" else (low, None) if word else (low, low)
