@@ -70,7 +70,7 @@ def shortest_compositions(edges: Iterable[Edge], target: str) -> dict[str, Affin
 def conversion_table(spark: SparkSession, compositions: dict[str, Affine]) -> DataFrame:
     """unit, factor, shift as decimals, for convert()."""
     rows = [(u, f"{float(f.a):.12f}" if f.a.denominator != 1 else str(f.a.numerator), str(float(f.b))) for u, f in compositions.items()]
-    return spark.createDataFrame(rows, "unit string, factor string, shift string").select("unit", F.col("factor").cast("decimal(20,12)"), F.col("shift").cast("decimal(20,6)"))
+    return spark.createDataFrame(rows, "unit string, factor string, shift string").select("unit", F.col("factor").cast("decimal(28,12)"), F.col("shift").cast("decimal(20,6)"))
 
 
 def convert(df: DataFrame, conversions: DataFrame, unit: str, values: dict[str, str]) -> DataFrame:
