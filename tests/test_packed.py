@@ -3,9 +3,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.operators.packed import explode_pieces, pieces, tokenize
+from tidemark.operators.packed import Regions, explode_pieces, pieces, tokenize
 
-REGIONS = frozenset(["or", "ohio", "us", "norland"])
+REGIONS = Regions([("Town", "Town", "OR", "Oregon", "US", "Freeland"), ("City", None, "OH", "Ohio", "US", "Freeland"), ("Há", "Ha", None, "Ostria", "XX", None)])
 CASES = [
     ("A | B;C", ["A", "B", "C"]), ("A\tB\nC", ["A", "B", "C"]), ("A — B • C", ["A", "B", "C"]), ("A / B", ["A", "B"]), ("CI/CD | A-B", ["CI/CD", "A-B"]), ("A||B |", ["A", "B"]),
     ('"A, ""x"" B","C"', ['A, "x" B', "C"]), ('"a|b" | c', ["a|b", "c"]), (r'"a\"|b" | c', ['a"|b', "c"]), ('Growth "CI/CD" Lead | X', ['Growth "CI/CD" Lead', "X"]), ("R (L; (M)) ; N", ["R (L; (M))", "N"]),
@@ -20,8 +20,9 @@ def test_rules(text, want):
 
 
 @pytest.mark.parametrize(("text", "want"), [
-    ("Town, OR or City, Ohio", ["Town, OR", "City, Ohio"]), ("Town, Ohio, US", ["Town, Ohio, US"]), ("Town,City,Hill", ["Town", "City", "Hill"]), ("Town, OH-IO", ["Town", "OH-IO"]), ("Town, Ohio 12345 (Hybrid)", ["Town, Ohio 12345 (Hybrid)"]),
-    ("Town, US - Remote", ["Town, US - Remote"]), ('Town,"City, US"', ["Town", "City, US"]), ("Oregon or", ["Oregon or"]),
+    ("Town, OR or City, Ohio", ["Town, OR", "City, Ohio"]), ("Town, Oregon, US", ["Town, Oregon, US"]), ("Town,City,Hill", ["Town", "City", "Hill"]), ("Town, OH-IO", ["Town", "OH-IO"]), ("Tonw, Ohio 12345 (Hybrid)", ["Tonw, Ohio 12345 (Hybrid)"]),
+    ("Town, US - Remote", ["Town, US - Remote"]), ('Town,"City, US"', ["Town", "City, US"]), ("Oregon or", ["Oregon or"]), ("Town, Ohio", ["Town", "Ohio"]), ("Hybrid - Town, OR", ["Hybrid - Town, OR"]), ("Remote,Freeland", ["Remote", "Freeland"]),
+    ("Oregon, Ohio", ["Oregon", "Ohio"]), ("Remote (US), XX", ["Remote (US)", "XX"]), ("Elsewhere, Ohio, XX", ["Elsewhere", "Ohio", "XX"]), ("Elsewhere, XX", ["Elsewhere, XX"]), ("Ha, Ostria", ["Ha, Ostria"]), ("Elsewhere office, Remote - Freeland", ["Elsewhere office", "Remote - Freeland"]), ("Town, OR, US, XX", ["Town", "OR", "US", "XX"]),
 ])
 def test_places(text, want):
     assert tokenize(text, ("or",), REGIONS) == want

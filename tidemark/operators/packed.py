@@ -6,8 +6,8 @@ mark open a quoted value; elsewhere it is a plain character). It notes every del
 quotes and brackets. Strong delimiters (; | newline tab • · and spaced / — or, where asked for,
 " or ") split whenever one is there. A comma splits only where no strong one does, and then
   * every comma, if a quoted value stands next to one (the writer quoted what holds commas);
-  * else, with ``qualifiers`` (names and codes of regions and countries): each comma whose right
-    side is no qualifier, so that "Town, Region" stays whole;
+  * else, with ``regions``: every comma, unless the text is one place followed by its own region,
+    its own country or both, so that "Town, Region" stays whole and "Town, Town" doesn't;
   * else every comma, unless the text is a plain sentence.
 
 Defined results
@@ -35,6 +35,9 @@ SPACED = set("/—–")
 OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, set(")]}")
 _ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]\w*);")
 _EDGES = re.compile(r"^[\s;|•·]+|[\s;|•·]+$")
+_LEAD_MODE = re.compile(r"^(?:(?:remote|hybrid|on-?site)\s*[-–—:]\s*|(?:remote\s+)?(?:based in|in)\s+)(?=\S)")
+# Parts that name no place, folded.
+_NO_PLACE = frozenset(["remote", "hybrid", "onsite", "on-site", "anywhere", "worldwide", "distributed", "multiple locations", "tbd", "global"])
 _MODE = re.compile(r"\s*(?:\([^()]*\)|[-–—]\s*(?:onsite|on-site|remote|hybrid|in office))\s*$")
 _POSTCODE = re.compile(r"\s+\d[\d -]*$")
 
@@ -106,17 +109,52 @@ def _is_sentence(text: str) -> bool:
     return len(words) >= 4 and small > len(words) / 2
 
 
-def _is_qualifier(part: str, qualifiers: frozenset[str]) -> bool:
+class Regions:
+    """Which regions and countries a comma may stand before: names and codes, and which of them a known place has."""
+
+    def __init__(self, rows: Iterable[tuple]):
+        """rows: place name, ASCII name, region code, region name, country code, country name; any may be null."""
+        self.countries: set[str] = set()
+        self.of_region: dict[str, set[str]] = {}
+        self.of_place: dict[str, set[str]] = {}
+        for name, ascii_name, *own in rows:
+            admin, country = ({fold(q) for q in pair if q} for pair in (own[:2], own[2:]))
+            self.countries |= country
+            for q in admin:
+                self.of_region.setdefault(q, set()).update(country)
+            for n in {fold(n) for n in (name, ascii_name) if n}:
+                self.of_place.setdefault(n, set()).update(admin | country)
+
+    def known(self, text: str) -> bool:
+        return text in self.countries or text in self.of_region
+
+    def is_one(self, parts: list[str]) -> bool:
+        """Whether comma-separated parts are one place with its own region or country, or both."""
+        first = _bare(parts[0])
+        rest = [_bare(p, lead=False) for p in parts[1:]]
+        if not first or self.known(first) or first in _NO_PLACE or len(rest) > 2:
+            return False
+        own = self.of_place.get(first)
+        if own is not None and not own.issuperset(rest):
+            return False
+        if len(rest) == 1:
+            return self.known(rest[0])
+        return rest[1] in self.of_region.get(rest[0], ())
+
+
+def _bare(part: str, lead: bool = True) -> str:
+    """A part without work mode (in front only with lead), wrapping brackets and postcode, folded."""
     text = fold(part)
     while True:
-        less = _POSTCODE.sub("", _MODE.sub("", text)).strip()
+        less = _POSTCODE.sub("", _MODE.sub("", _LEAD_MODE.sub("", text) if lead else text)).strip()
+        if lead and (m := re.fullmatch(r"(?:remote|hybrid|on-?site)?\s*\(([^()]*)\)", less)) is not None:
+            less = m[1].strip()
         if less == text:
-            break
+            return text
         text = less
-    return text in qualifiers
 
 
-def tokenize(text: str | None, words: tuple[str, ...] = (), qualifiers: frozenset[str] | None = None) -> list[str]:
+def tokenize(text: str | None, words: tuple[str, ...] = (), regions: Regions | None = None) -> list[str]:
     """The values of one packed text in order; see the module's rules."""
     if not text:
         return []
@@ -138,11 +176,11 @@ def tokenize(text: str | None, words: tuple[str, ...] = (), qualifiers: frozense
         beside = lambda a, b: any(not text[e:a].strip() for _, e in spans if e <= a) or any(not text[b:s].strip() for s, _ in spans if s >= b)
         if any(beside(a, b) for a, b in commas):
             cuts = commas
-        elif qualifiers is None:
+        elif regions is None:
             cuts = [] if _is_sentence(text) else commas
         else:
-            ends = [*[a for a, _ in commas[1:]], len(text)]
-            cuts = [c for c, e in zip(commas, ends) if not _is_qualifier(text[c[1] : e], qualifiers)]
+            starts, ends = [0, *[b for _, b in commas]], [*[a for a, _ in commas], len(text)]
+            cuts = [] if regions.is_one([text[a:b] for a, b in zip(starts, ends)]) else commas
     pieces, at = [], 0
     for a, b in [*cuts, (len(text), len(text))]:
         if value := _value(text[at:a]):
@@ -151,13 +189,13 @@ def tokenize(text: str | None, words: tuple[str, ...] = (), qualifiers: frozense
     return pieces
 
 
-def pieces(text: Column, words: Iterable[str] = (), qualifiers: Iterable[str] | None = None, entities: bool = True) -> Column:
+def pieces(text: Column, words: Iterable[str] = (), regions: Regions | None = None, entities: bool = True) -> Column:
     """array<string> of the values in a packed text. entities: decode HTML entities first."""
-    words, known = tuple(words), None if qualifiers is None else frozenset(fold(q) for q in qualifiers if q)
+    words = tuple(words)
 
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else tokenize(html.unescape(t) if entities and "&" in t else t, words, known))
+        return texts.map(lambda t: None if t is None else tokenize(html.unescape(t) if entities and "&" in t else t, words, regions))
 
     return split(text)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.instants import epoch_number_ms, with_instant
-from tidemark.operators.packed import explode_pieces, pieces
+from tidemark.operators.packed import Regions, explode_pieces, pieces
 from tidemark.operators.snapshots import change_events
 from tidemark.operators.units import conversion_table, convert, money_period_edges, pay_facts, shortest_compositions, unit_parts
 from tidemark.session import salted_join, table
@@ -45,19 +45,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 MAX_REFERENCE_ROWS = 200_000
 
 
-def region_words(spark: SparkSession, sf_dir: str) -> list[str]:
-    """Names and codes of the regions and countries of places, for the tokenizer; checked for size first."""
-    places = table(spark, sf_dir, "places").select(F.explode(F.array("admin_code", "admin_name", "country_code", "country_name")).alias("q")).where("q IS NOT NULL").distinct()
-    rows = places.limit(MAX_REFERENCE_ROWS + 1).collect()
+def regions(spark: SparkSession, sf_dir: str) -> Regions:
+    """The regions of places, on the driver after a check of their number."""
+    rows = table(spark, sf_dir, "places").select("place_name", "ascii_name", "admin_code", "admin_name", "country_code", "country_name").distinct().limit(MAX_REFERENCE_ROWS + 1).collect()
     if len(rows) > MAX_REFERENCE_ROWS:
-        raise ValueError("places holds too many regions to be a reference list")
-    return [r.q for r in rows]
+        raise ValueError("places is too long to be a reference list")
+    return Regions(map(tuple, rows))
 
 
 def location_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, rec_id, pieces of greenhouse_jobs.location_name, one row per record."""
     rows = table(spark, sf_dir, "greenhouse_jobs").where("job_id IS NOT NULL").groupBy(F.col("job_id").cast("string").alias("rec_id")).agg(F.max(F.struct("fetched_at", "location_name")).alias("r"))
-    return rows.select(F.lit("greenhouse_jobs").alias("src"), "rec_id", pieces(F.col("r.location_name"), words=("or",), qualifiers=region_words(spark, sf_dir)).alias("pieces"))
+    return rows.select(F.lit("greenhouse_jobs").alias("src"), "rec_id", pieces(F.col("r.location_name"), words=("or",), regions=regions(spark, sf_dir)).alias("pieces"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
