@@ -27,6 +27,10 @@ def bodies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
 
 
+def _lacks(field: str):
+    return lambda x: x[field].isNull()
+
+
 def read_body(df: DataFrame, body: str, schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
     """(df with ``parsed``, error rows). required: fields that must not be null in any element, as 'jobs.id' or 'id'."""
     parsed = df.withColumn("parsed", F.from_json(F.col(body), schema, {"mode": "PERMISSIVE"}))
@@ -34,7 +38,7 @@ def read_body(df: DataFrame, body: str, schema: str, required: list[str]) -> tup
     for field in required:
         outer, _, inner = field.rpartition(".")
         elements = F.col(f"parsed.{outer}") if outer else F.col("parsed")
-        bad = bad | elements.isNull() | F.exists(elements, lambda x, f=inner: x[f].isNull())
+        bad = bad | elements.isNull() | F.exists(elements, _lacks(inner))
     bad = F.coalesce(bad, F.lit(True))
     return parsed.where(~bad), parsed.where(bad).drop("parsed").withColumn("error", F.lit("unreadable body"))
 
