@@ -57,7 +57,7 @@ def test_empty_table_and_repeats(spark):
     assert [r.out for r in with_instant(twice, "t", "out").collect()] == [1774727238000] * 2
 
 
-@pytest.mark.parametrize(("n", "want"), [(1774727238, 1774727238000), (1774727238123, 1774727238123), (1774727238123456, 1774727238123), (1774727238123456789, 1774727238123), (0, None), (-1, None), (None, None), (5, None)])
+@pytest.mark.parametrize(("n", "want"), [(1774727238, 1774727238000), (1774727238123, 1774727238123), (1774727238123456, 1774727238123), (1774727238123456789, 1774727238123), (1774727238122999999, 1774727238122), (1774727238123000001, 1774727238123), (0, None), (-1, None), (None, None), (5, None)])
 def test_numbers(spark, n, want):
     from pyspark.sql import functions as F
 

@@ -98,7 +98,7 @@ def epoch_number_ms(n: Column) -> Column:
     n, v = n.cast("bigint"), F.lit(None).cast("bigint")
     low, high = (int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) for y in (EARLIEST, LATEST))
     for scale in (1, 10**3, 10**6, 10**9):
-        ms = n * (1000 // scale) if scale <= 1000 else (n - F.pmod(n, F.lit(scale // 1000))) / F.lit(scale // 1000)
+        ms = n * (1000 // scale) if scale <= 1000 else (n - F.pmod(n, F.lit(scale // 1000))).cast("decimal(20,0)") / F.lit(scale // 1000)
         v = F.when((n >= F.lit(low * scale)) & (n < F.lit(high * scale)), ms.cast("bigint")).otherwise(v)
     return v
 
