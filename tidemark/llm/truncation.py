@@ -52,7 +52,7 @@ _BULLET = re.compile(r"^\s*(?:[-*•–·]|\d{1,2}[.)])\s+")
 _PARTS = re.compile(r"[|•\t]| / ")
 # Abbreviations whose stop ends no sentence.
 SHORT = ["Ref", "No", "Nr", "St", "Mr", "Ms", "Dr", "vs", "e.g", "i.e"]
-_SENTENCE = re.compile("".join(rf"(?<!\b{re.escape(a)}\.)" for a in SHORT) + r"(?<=[.!?])\s+")
+_SENTENCE = re.compile(r"(?<=[.!?])" + "".join(rf"(?<!\b{re.escape(a)}\.)" for a in SHORT) + r"\s+")
 
 
 def _tokens(part: str, common: frozenset[str] | None) -> list[str]:
