@@ -84,24 +84,44 @@ class Gazetteer:
         return " ".join(words)
 
     def within(self, name: str, most: int) -> list[tuple[int, str]]:
-        """(edits, spelling) of all entries at most that far, by walking the trie with a row of distances."""
+        """(edits, spelling) of all entries at most that far, by walking the trie with a row of distances.
+
+        Cells further than ``most`` from the diagonal can't count, so a row has 2·most + 1 live cells.
+        A branch ends when neither its row nor, for a swap still open, the row before can come within reach.
+        """
         found: list[tuple[int, str]] = []
-        first = list(range(len(name) + 1))
-        stack = [(child, c, first, None, "") for c, child in self.root.items() if c]
+        n, far = len(name), most + 1
+        first = [min(j, far) for j in range(n + 1)]
+        stack = [(child, c, 1, first, first, "", 0) for c, child in self.root.items() if c]
         while stack:
-            node, c, before, older, last = stack.pop()
-            row = [before[0] + 1]
-            for j, y in enumerate(name, 1):
-                cost = min(row[j - 1] + 1, before[j] + 1, before[j - 1] + (c != y))
-                if older is not None and j > 1 and y == last and name[j - 2] == c:
-                    cost = min(cost, older[j - 2] + 1)
-                row.append(cost)
-            if min(row) > most and (min(before) > most or older is None or min(older) > most - 1):
-                continue
-            if "" in node and row[-1] <= most:
-                found.append((row[-1], node[""]))
-            if min(row) <= most + 1:
-                stack += [(child, d, row, before, c) for d, child in node.items() if d]
+            node, c, depth, before, older, last, least_before = stack.pop()
+            row = [far] * (n + 1)
+            if depth <= most:
+                row[0] = depth
+            least = row[0]
+            low = depth - most if depth > most else 1
+            for j in range(low, min(n, depth + most) + 1):
+                y = name[j - 1]
+                cost = before[j - 1]
+                if c != y:
+                    cost += 1
+                    if before[j] < cost:
+                        cost = before[j] + 1
+                    if row[j - 1] < cost:
+                        cost = row[j - 1] + 1
+                    if y == last and j > 1 and older[j - 2] < cost and name[j - 2] == c:
+                        cost = older[j - 2] + 1
+                if cost < far:
+                    row[j] = cost
+                    if cost < least:
+                        least = cost
+            if row[n] <= most and "" in node:
+                found.append((row[n], node[""]))
+            if least <= most or least_before < most:
+                depth += 1
+                for d, child in node.items():
+                    if d:
+                        stack.append((child, d, depth, row, before, c, least))
         return found
 
     def beginning(self, stem: str) -> list[str]:
