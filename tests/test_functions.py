@@ -42,6 +42,8 @@ def test_hashes(spark):
     words = ("we build calm tools for night shift nurses and ferry operators near the river " * 4).split()
     near = text.simhash_words(words) ^ text.simhash_words([*words, "req", "77"])
     assert bin(near & (2**64 - 1)).count("1") < 16 and text.simhash_words([]) == 0 and one(spark, text.simhash, None) is None
+    many = [words, [], ["a"], words[:7], [*words, "z"]]
+    assert text.simhash_many(many) == [text.simhash_words(w) for w in many]
     assert text.simhash_words(["two", "words"]) == int(text.fnv1a_many([b"two words"])[0].astype("int64"))
 
 

@@ -93,15 +93,42 @@ def fnv1a_many(texts: list[bytes]) -> np.ndarray:
     return state
 
 
-def simhash_words(words: list[str]) -> int:
-    """64-bit SimHash over shingles of three words, as a signed integer; 0 for no words."""
-    if not words:
-        return 0
-    shingles = [" ".join(words[i : i + 3]).encode() for i in range(max(1, len(words) - 2))]
+#: Shingles hashed at once.
+CHUNK = 100_000
+
+
+def _majorities(shingles: list[bytes], sizes: list[int]) -> np.ndarray:
+    """One signed SimHash for each run of ``sizes`` shingles."""
     hashes = fnv1a_many(shingles)
-    bits = (hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    majority = bits.sum(axis=0).astype(np.int64) * 2 > len(hashes)
-    return int((majority.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum().astype(np.int64))
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    out = np.zeros(len(sizes), dtype=np.uint64)
+    for bit in range(64):
+        ones = np.add.reduceat(((hashes >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), starts)
+        out |= (ones * 2 > np.array(sizes)).astype(np.uint64) << np.uint64(bit)
+    return out.astype(np.int64)
+
+
+def simhash_many(texts: list[list[str]]) -> list[int]:
+    """64-bit SimHashes over shingles of three words, as signed integers; 0 for no words."""
+    found: list[int] = [0] * len(texts)
+    shingles: list[bytes] = []
+    sizes: list[int] = []
+    owners: list[int] = []
+    for k, words in enumerate(texts):
+        if words:
+            own = [" ".join(words[i : i + 3]).encode() for i in range(max(1, len(words) - 2))]
+            shingles += own
+            sizes.append(len(own))
+            owners.append(k)
+        if sizes and (len(shingles) >= CHUNK or k == len(texts) - 1):
+            for owner, value in zip(owners, _majorities(shingles, sizes).tolist()):
+                found[owner] = value
+            shingles, sizes, owners = [], [], []
+    return found
+
+
+def simhash_words(words: list[str]) -> int:
+    return simhash_many([words])[0]
 
 
 def fnv1a64(text: Column) -> Column:
@@ -122,7 +149,10 @@ def simhash(normalized: Column) -> Column:
 
     @F.pandas_udf("bigint")
     def hashed(s: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else simhash_words(t.split()) for t in s], dtype="Int64")
+        out = pd.Series(pd.NA, index=s.index, dtype="Int64")
+        filled = s.dropna()
+        out[filled.index] = simhash_many([t.split() for t in filled])
+        return out
 
     return hashed(normalized)
 
