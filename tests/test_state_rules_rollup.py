@@ -39,6 +39,28 @@ def test_reposts_link_to_roots(spark):
     assert sorted(tuple(r) for r in state.link_reposts(df, ["c"], "id", "first_seen", "f").collect()) == [(2, 1), (3, 1)]
 
 
+def test_reposts_of_reposts_take_their_root(spark):
+    # each is three bits from the one before it and further from all others
+    chain = [(k, "a", 10 * k, (1 << 3 * k) - 1) for k in range(1, 8)]
+    df = spark.createDataFrame([*chain, (8, "a", 99, (1 << 21) - 1), (9, "b", 99, (1 << 6) - 1)], "id int, c string, first_seen int, f bigint")
+    assert sorted(tuple(r) for r in state.link_reposts(df, ["c"], "id", "first_seen", "f").collect()) == [(k, 1) for k in range(2, 9)]
+    # near two roots of its own: the earlier one
+    fork = spark.createDataFrame([(1, "a", 1, 0b111), (2, "a", 2, 0b1110000000), (3, "a", 3, 0b1111000000111), (4, "a", 4, 0b1000000111)], "id int, c string, first_seen int, f bigint")
+    assert sorted(tuple(r) for r in state.link_reposts(fork, ["c"], "id", "first_seen", "f").collect()) == [(4, 1)]
+
+
+def test_reposts_need_the_same_place(spark, tmp_path):
+    from datetime import datetime
+
+    from tidemark.plans import reference
+
+    text = "we build the pricing engine and keep the warehouse of all the boards running day and night"
+    rows = [(1, "Acme", "Engineer", "Oslo", text, 1), (2, "ACME", "Engineer", "oslo", text, 2), (3, "Acme", "Engineer", "Bergen", text, 3), (4, "Acme", "Engineer", None, text, 4), (5, "Acme", "Engineer", None, text, 5)]
+    df = spark.createDataFrame([(*r[:5], datetime(2026, 1, r[5])) for r in rows], "job_id long, company_name string, title string, location_name string, content_html string, fetched_at timestamp")
+    df.write.parquet(f"{tmp_path}/greenhouse_jobs.parquet")
+    assert sorted(tuple(r) for r in reference.repost_simhash(spark, str(tmp_path)).collect()) == [(2, 1), (5, 4)]
+
+
 def test_changes(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, None), (1, 4, None), (2, 1, None)], "k int, t int, v string")
     assert [r.status for r in state.changes(df, ["k"], ["t"], F.col("v")).orderBy("k", "t").collect()] == ["new", "unchanged", "updated", "unchanged", "new"]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import hamming
+from tidemark.session import cut
 
 #: Differing SimHash bits within which two texts count as one; misses that close a record.
 NEAR_BITS, MISSES = 3, 2
@@ -65,8 +66,9 @@ def work_queue(queue: DataFrame, tried_at: str, added_at: str, name: str, now: i
 
 
 def link_reposts(rows: DataFrame, block: list[str], row_id: str, first_seen: str, fingerprint: str) -> DataFrame:
-    """row_id, duplicate_of: the earliest root in the block (first_seen, then id) whose fingerprint is within NEAR_BITS.
+    """row_id, duplicate_of: the root of the first earlier row in the block (first_seen, then id) whose fingerprint is within NEAR_BITS.
 
+    The row found may itself be a repost; then its root counts, however far that is from the row.
     Rows of one block and fingerprint are one before the comparison, so copies never meet in pairs.
     A row counts as a root if no earlier row of its block is near it.
     """
@@ -74,14 +76,28 @@ def link_reposts(rows: DataFrame, block: list[str], row_id: str, first_seen: str
     groups = keyed.groupBy(*block, fingerprint).agg(F.min(F.struct(first_seen, row_id)).alias("head"))
     a, b = groups.select(*block, F.col(fingerprint).alias("fa"), F.col("head").alias("ha")), groups.select(*block, F.col(fingerprint).alias("fb"), F.col("head").alias("hb"))
     near = a.join(b, block).where((F.col("hb") < F.col("ha")) & (hamming(F.col("fa"), F.col("fb")) <= NEAR_BITS))
-    roots = groups.join(near.select(*block, F.col("fa").alias(fingerprint)).distinct(), [*block, fingerprint], "left_anti").select(*block, F.col(fingerprint).alias("fr"), F.col("head").alias("root"))
-    to_root = groups.join(roots, block).where((F.col("root") < F.col("head")) & (hamming(F.col(fingerprint), F.col("fr")) <= NEAR_BITS))
-    chosen = to_root.groupBy(*block, fingerprint).agg(F.min("root").alias("root"))
-    linked = keyed.join(groups, [*block, fingerprint]).join(chosen, [*block, fingerprint], "left")
+    found = near.groupBy(*block, F.col("ha").alias("head")).agg(F.min("hb").alias("root"))
+    chosen = _to_roots(found, block)
+    linked = keyed.join(groups, [*block, fingerprint]).join(chosen, [*block, "head"], "left")
     target = F.coalesce(F.col("root"), F.col("head"))[row_id]
     return linked.select(F.col(row_id), F.when(target != F.col(row_id), target).alias("duplicate_of")).where("duplicate_of IS NOT NULL")
 
 
+def _to_roots(links: DataFrame, block: list[str]) -> DataFrame:
+    """links (block, head, root) with each root replaced by the end of its chain.
+
+    Every round a root takes its own root, which halves the chains, so the number of rounds grows
+    with the logarithm of the longest one. A root is earlier than its head, so there are no cycles.
+    """
+    links = cut(links)
+    while True:
+        up = links.select(*block, F.col("head").alias("root"), F.col("root").alias("higher"))
+        step = cut(links.join(up, [*block, "root"], "left").select(*block, "head", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")))
+        links = step.drop("moved")
+        if step.where("moved").isEmpty():
+            return links
+
+
 def changes(rows: DataFrame, key: list[str], order: list[str], content: Column) -> DataFrame:
     """rows with status against the row before it of the same key: 'new', 'updated' or 'unchanged'."""
     w = Window.partitionBy(*key).orderBy(*order)

@@ -136,9 +136,9 @@ def repost_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def repost_simhash(spark: SparkSession, sf: str) -> DataFrame:
-    jobs = table(spark, sf, "greenhouse_jobs").where("job_id IS NOT NULL AND fetched_at IS NOT NULL").groupBy("job_id").agg(F.max(F.struct("fetched_at", "company_name", "title", "content_html")).alias("r"), F.min("fetched_at").alias("first_seen"))
-    keyed = jobs.select("job_id", "first_seen", text.normalize(F.col("r.company_name")).alias("c"), text.normalize(F.col("r.title")).alias("t"), text.simhash(text.normalize(to_text(F.col("r.content_html"), escaped=True))).alias("f"))
-    return state.link_reposts(keyed.where("c IS NOT NULL AND t IS NOT NULL"), ["c", "t"], "job_id", "first_seen", "f")
+    jobs = table(spark, sf, "greenhouse_jobs").where("job_id IS NOT NULL AND fetched_at IS NOT NULL").groupBy("job_id").agg(F.max(F.struct("fetched_at", "company_name", "title", "location_name", "content_html")).alias("r"), F.min("fetched_at").alias("first_seen"))
+    keyed = jobs.select("job_id", "first_seen", text.normalize(F.col("r.company_name")).alias("c"), text.normalize(F.col("r.title")).alias("t"), text.normalize(F.coalesce("r.location_name", F.lit(""))).alias("l"), text.simhash(text.normalize(to_text(F.col("r.content_html"), escaped=True))).alias("f"))
+    return state.link_reposts(keyed.where("c IS NOT NULL AND t IS NOT NULL"), ["c", "t", "l"], "job_id", "first_seen", "f")
 
 
 def coverage_rollup(spark: SparkSession, sf: str) -> DataFrame:
