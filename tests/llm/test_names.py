@@ -51,6 +51,27 @@ def test_pairs_are_in_byte_order_and_once(spark):
     assert all(a.encode() < b.encode() for a, b in pairs)
 
 
+def clusters(spark, rows):
+    by = {}
+    for r in link_names(names(spark, rows), "name").collect():
+        by.setdefault(r.entity, set()).add(r.name)
+    return sorted(by.values(), key=min)
+
+
+def dressed(name, n=3):
+    return [name, f"{name} Ltd.", f"{name} GmbH", f"{name} Inc.", f"{name} LLC", f"{name} Corp"][:n]
+
+
+def test_two_slips_of_ordinary_letters_link(spark):
+    # the common letter pairs of the misspelt name are those of well-attested ones
+    plenty = [n for w in ("Dramurado", "Mudraruda", "Raduramudo") for n in dressed(f"{w} Foods", 6)]
+    true = dressed("Dradramudra Laboratories")
+    got = clusters(spark, [*plenty, *true, "Draramura Laboratories", *dressed("Chekotite Laboratories"), *dressed("Chenorite Laboratories")])
+    assert {*true, "Draramura Laboratories"} in got
+    # two other letters are no slips
+    assert {*dressed("Chekotite Laboratories")} in got and {*dressed("Chenorite Laboratories")} in got
+
+
 def test_empty_and_long(spark):
     assert link_names(names(spark, []), "name").count() == 0
     assert link_names(names(spark, ["x" * 50_000 + " Health", "x" * 50_000 + " Health Inc", "a"]), "name").select("entity").distinct().count() == 2

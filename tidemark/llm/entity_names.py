@@ -2,12 +2,12 @@
 
 A name is folded, stripped of legal forms and decorations, and read as a trade (with the nickname
 table for abbreviations) and sorted name tokens. Names that read alike are one key. Keys of a trade
-meet in blocks: the phonetic code of the sorted tokens, whole and with one sound left out, and the
-tokens with one letter left out. A phonetic block holds only spellings that differ in vowels and
-like sounds, a leave-one-out block only the spellings one letter away from it; repeated rows don't
-enlarge either. Pairs in a block are compared by Jaro–Winkler and edit distance. A spelling with
-letter pairs that well-attested names lack may be two edits away, any other one slip of typing. Cut-off names and
-names without trade join the one organisation they can mean. Connected components of the accepted links are the entities.
+meet in blocks: the phonetic code of the sorted tokens, and the tokens with up to two letters left
+out, which every two spellings within two edits have in common. A phonetic block holds only spellings
+that differ in vowels and like sounds, a leave-out block only the spellings two letters away from it;
+repeated rows don't enlarge either. Pairs in a block are compared by Jaro–Winkler and edit distance:
+one or two slips of typing link. Letter pairs that well-attested names lack are further evidence of a
+misspelling; with them, edits that are no slips link too. Cut-off names and names without trade join the one organisation they can mean. Connected components of the accepted links are the entities.
 
 Defined results
   null, empty and white-space names, words that hide the employer  → no entity
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.folding import fold
 from tidemark.llm.components import connected_components
-from tidemark.llm.strings import edits, is_slip, jaro_winkler, sound
+from tidemark.llm.strings import edits, jaro_winkler, slips, sound
 from tidemark.session import cut
 
 # Words that hide the employer, folded and without punctuation.
@@ -151,29 +151,28 @@ def _blocks(cores: pd.Series) -> pd.Series:
     def codes(core: str) -> list[str]:
         if len(core) > LONGEST:
             return []
-        shorter = {core[:i] + core[i + 1 :] for i in range(len(core))} if len(core) > 4 else set()
-        sounds = " ".join(sound(t) for t in core.split())
-        fewer = {re.sub(r"(.)\1+", r"\1", sounds[:i] + sounds[i + 1 :]) for i in range(len(sounds))} if len(sounds) > 3 else set()
-        return [*sorted("s:" + s for s in fewer | {sounds}), *sorted("d:" + s for s in shorter | {core})]
+        one = {core[:i] + core[i + 1 :] for i in range(len(core))} if len(core) >= 4 else set()
+        two = {s[:i] + s[i + 1 :] for s in one for i in range(len(s))} if len(core) >= 5 else set()
+        return ["s:" + " ".join(sound(t) for t in core.split()), *sorted("d:" + s for s in one | two | {core})]
 
     return cores.map(codes)
 
 
 def _closeness(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Edits between two spellings token by token (9 if they are too far apart), Jaro–Winkler, and whether a single edit is a slip of typing."""
+    """Edits between two spellings token by token (9 if they are too far apart), Jaro–Winkler, and whether every edit is a slip of typing."""
 
     def close(x: str, y: str) -> tuple[int, float, bool]:
         xs, ys = x.split(), y.split()
         far = [edits(s, t, 2) for s, t in zip(xs, ys)] if len(xs) == len(ys) else [9]
         if sum(far) > 2:
             return 9, 0.0, False
-        return sum(far), jaro_winkler(x, y), sum(far) == 1 and is_slip(xs[far.index(1)], ys[far.index(1)])
+        return sum(far), jaro_winkler(x, y), sum(slips(s, t, 2) for s, t in zip(xs, ys)) == sum(far)
 
     return pd.DataFrame([close(x, y) for x, y in zip(a, b)], columns=["edits", "score", "slip"])
 
 
-#: Jaro–Winkler from which two spellings in a block link, at one and at two edits.
-CLOSE, CLOSE_TWO = 0.8, 0.75
+#: Jaro–Winkler from which two spellings in a block link: at one edit, at two slips, and at two edits of an odd spelling.
+CLOSE, CLOSE_SLIPS, CLOSE_TWO = 0.8, 0.9, 0.75
 #: Letters that a cut-off name must keep.
 STEM = 4
 #: A pair of letters is odd below this share of all pairs in well-attested names.
@@ -202,11 +201,11 @@ def link_names(names: DataFrame, name: str) -> DataFrame:
     # slips: keys of one trade in a common block; each takes the closest one that is no less attested
     blocked = named.select("trade", "key", "core", "forms", "odd", F.explode(F.pandas_udf(_blocks, "array<string>")("core")).alias("block"))
     a, b = (blocked.select("trade", "block", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "core", "forms", "odd")]) for side in "ab")
-    # leaving out one letter finds every pair one edit apart; only odd spellings may be two away and need the sounds
-    pairs = a.where("block LIKE 'd:%' OR odd_a").join(b, ["trade", "block"]).where("key_a <> key_b AND forms_a <= 2 AND forms_a <= forms_b").drop("trade", "block").distinct()
+    # leaving out up to two letters finds every pair two edits apart
+    pairs = a.join(b, ["trade", "block"]).where("key_a <> key_b AND forms_a <= 2 AND forms_a <= forms_b").drop("trade", "block").distinct()
     scored = pairs.withColumn("c", F.pandas_udf(_closeness, "struct<edits int, score double, slip boolean>")("core_a", "core_b")).select("*", "c.*")
     one = (F.col("edits") == 1) & (F.col("score") >= CLOSE) & (F.col("slip") | F.col("odd_a"))
-    two = (F.col("edits") == 2) & (F.col("score") >= CLOSE_TWO) & F.col("odd_a")
+    two = (F.col("edits") == 2) & ((F.col("slip") & (F.col("score") >= CLOSE_SLIPS)) | (F.col("odd_a") & (F.col("score") >= CLOSE_TWO)))
     # cut-off names: the one key of the trade that begins like it
     single = named.where(f"instr(core, ' ') = 0 AND length(core) <= {LONGEST}")
     grown = single.withColumn("n", F.length("core")).where(f"n > {STEM}").withColumn("stem", F.explode(F.expr(f"transform(sequence({STEM}, n - 1), i -> left(core, i))")))
@@ -215,15 +214,15 @@ def link_names(names: DataFrame, name: str) -> DataFrame:
     # beginnings of two names may look like slips of each other, so they take no part in slips
     begun = ends.where("n >= length(stem) + 2").select("key_a").distinct()
     scored = scored.join(begun, "key_a", "left_anti").join(begun.withColumnRenamed("key_a", "key_b"), "key_b", "left_anti")
-    slips = scored.where(one | two).groupBy("key_a").agg(F.max_by("key_b", F.struct(-F.col("edits"), "forms_b", "score", "key_b")).alias("key_b"))
+    slipped = scored.where(one | two).groupBy("key_a").agg(F.max_by("key_b", F.struct(-F.col("edits"), "forms_b", "score", "key_b")).alias("key_b"))
     # continuations that are slips of one spelling count as that one
-    back = slips.select(F.col("key_a").alias("key_b"), F.col("key_b").alias("key_a"), F.lit(True).alias("mutual"))
+    back = slipped.select(F.col("key_a").alias("key_b"), F.col("key_b").alias("key_a"), F.lit(True).alias("mutual"))
     meant = F.when(F.col("mutual"), F.least("key_a", "key_b")).otherwise(F.col("key_b"))
-    same = slips.join(back, ["key_a", "key_b"], "left").select(F.col("key_a").alias("key_b"), meant.alias("meant"))
+    same = slipped.join(back, ["key_a", "key_b"], "left").select(F.col("key_a").alias("key_b"), meant.alias("meant"))
     ends = ends.join(same, "key_b", "left").select("key_a", F.coalesce("meant", "key_b").alias("key_b"), "forms_b").groupBy("key_a", "key_b").agg(F.max("forms_b").alias("forms_b")).where("key_a <> key_b")
     best = ends.groupBy("key_a").agg(F.count_if(F.col("forms_b") > 1).alias("well"), F.count("*").alias("n"), F.max_by("key_b", F.struct("forms_b", "key_b")).alias("key_b"))
     cuts = best.where("well = 1 OR (well = 0 AND n = 1)").select("key_a", "key_b")
-    links = slips.unionByName(cuts)
+    links = slipped.unionByName(cuts)
     entities = connected_components(keys.select(F.col("key").alias("node")), links.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
     grouped = keys.join(entities, keys.key == entities.node).select("key", "trade", "core", "lead", "forms", "component")
     # names without trade: the one entity whose leading name or whole name they are

@@ -72,3 +72,22 @@ def is_slip(a: str, b: str) -> bool:
         return True
     at = [k for k in range(len(a)) if a[k] != b[k]]
     return len(at) == 2 or (len(at) == 1 and confusable(a[at[0]], b[at[0]]))
+
+
+def slips(a: str, b: str, most: int) -> int:
+    """Least number of slips of typing between two strings, or most + 1; another letter that is not confusable counts as two."""
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        older, before, row = before, row, [i]
+        for j, y in enumerate(b, 1):
+            cost = min(row[j - 1] + 1, before[j] + 1, before[j - 1] + (0 if x == y else 1 if confusable(x, y) else 2))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                cost = min(cost, older[j - 2] + 1)
+            row.append(cost)
+        if min(row) > most:
+            return most + 1
+    return min(row[-1], most + 1)
