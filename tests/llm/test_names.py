@@ -72,6 +72,12 @@ def test_two_slips_of_ordinary_letters_link(spark):
     assert {*dressed("Chekotite Laboratories")} in got and {*dressed("Chenorite Laboratories")} in got
 
 
+def test_more_forms_of_a_misspelling_remove_no_link(spark):
+    true = dressed("Trifuzpo Analytics", 6)
+    assert clusters(spark, [*true, *dressed("Trifupzo Analytics", 5)]) == [{*true, *dressed("Trifupzo Analytics", 5)}]
+    assert clusters(spark, [*true, *dressed("Trifuz Analytics", 5)]) == [{*true, *dressed("Trifuz Analytics", 5)}]
+
+
 def test_empty_and_long(spark):
     assert link_names(names(spark, []), "name").count() == 0
     assert link_names(names(spark, ["x" * 50_000 + " Health", "x" * 50_000 + " Health Inc", "a"]), "name").select("entity").distinct().count() == 2

@@ -202,7 +202,7 @@ def link_names(names: DataFrame, name: str) -> DataFrame:
     blocked = named.select("trade", "key", "core", "forms", "odd", F.explode(F.pandas_udf(_blocks, "array<string>")("core")).alias("block"))
     a, b = (blocked.select("trade", "block", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "core", "forms", "odd")]) for side in "ab")
     # leaving out up to two letters finds every pair two edits apart
-    pairs = a.join(b, ["trade", "block"]).where("key_a <> key_b AND forms_a <= 2 AND forms_a <= forms_b").drop("trade", "block").distinct()
+    pairs = a.join(b, ["trade", "block"]).where("key_a <> key_b AND forms_a <= forms_b").drop("trade", "block").distinct()
     scored = pairs.withColumn("c", F.pandas_udf(_closeness, "struct<edits int, score double, slip boolean>")("core_a", "core_b")).select("*", "c.*")
     one = (F.col("edits") == 1) & (F.col("score") >= CLOSE) & (F.col("slip") | F.col("odd_a"))
     two = (F.col("edits") == 2) & ((F.col("slip") & (F.col("score") >= CLOSE_SLIPS)) | (F.col("odd_a") & (F.col("score") >= CLOSE_TWO)))
@@ -210,7 +210,7 @@ def link_names(names: DataFrame, name: str) -> DataFrame:
     single = named.where(f"instr(core, ' ') = 0 AND length(core) <= {LONGEST}")
     grown = single.withColumn("n", F.length("core")).where(f"n > {STEM}").withColumn("stem", F.explode(F.expr(f"transform(sequence({STEM}, n - 1), i -> left(core, i))")))
     short = single.where(f"length(core) >= {STEM}").select("trade", F.col("key").alias("key_a"), F.col("forms").alias("forms_a"), F.explode(F.expr("array_distinct(array(core, regexp_replace(core, 'y$', '')))")).alias("stem"))
-    ends = short.join(grown.select("trade", "stem", F.col("key").alias("key_b"), F.col("forms").alias("forms_b"), "n"), ["trade", "stem"]).where("forms_a <= 2 AND forms_b >= forms_a AND key_a <> key_b")
+    ends = short.join(grown.select("trade", "stem", F.col("key").alias("key_b"), F.col("forms").alias("forms_b"), "n"), ["trade", "stem"]).where("forms_b >= forms_a AND key_a <> key_b")
     # beginnings of two names may look like slips of each other, so they take no part in slips
     begun = ends.where("n >= length(stem) + 2").select("key_a").distinct()
     scored = scored.join(begun, "key_a", "left_anti").join(begun.withColumnRenamed("key_a", "key_b"), "key_b", "left_anti")
