@@ -78,6 +78,25 @@ def test_more_forms_of_a_misspelling_remove_no_link(spark):
     assert clusters(spark, [*true, *dressed("Trifuz Analytics", 5)]) == [{*true, *dressed("Trifuz Analytics", 5)}]
 
 
+def test_every_accepted_link_counts(spark):
+    # two misspellings one edit from each other, both two edits from the name
+    true = dressed("Vemabiro Foods")
+    assert clusters(spark, [*true, "Vemabrrio Foods", "Vemabrrrio Foods"]) == [{*true, "Vemabrrio Foods", "Vemabrrrio Foods"}]
+    # a chain of spellings seen once each
+    assert clusters(spark, ["Kodupevha Foods", "Kodupeha Foods", "Kdupeha Foods", "Kdpeha Foods"]) == [{"Kodupevha Foods", "Kodupeha Foods", "Kdupeha Foods", "Kdpeha Foods"}]
+    # between two well-attested names the closest counts, and the two stay apart
+    one, two = dressed("Rasupelo Foods"), dressed("Rasutelo Foods")
+    ordinary = [*dressed("Rasupelo Health"), *dressed("Rasutelo Health")]
+    got = clusters(spark, [*one, *two, *ordinary, "Rasupeloo Foods", "Rasuteloo Foods"])
+    assert {*one, "Rasupeloo Foods"} in got and {*two, "Rasuteloo Foods"} in got
+
+
+def test_the_beginning_of_another_name_keeps_its_misspellings(spark):
+    short, long = dressed("Vemabiro Foods", 2), dressed("Vemabirotudo Foods", 2)
+    got = clusters(spark, [*short, "Vemabrio Foods", *long])
+    assert any({*short, "Vemabrio Foods"} <= c for c in got)
+
+
 def test_empty_and_long(spark):
     assert link_names(names(spark, []), "name").count() == 0
     assert link_names(names(spark, ["x" * 50_000 + " Health", "x" * 50_000 + " Health Inc", "a"]), "name").select("entity").distinct().count() == 2

@@ -7,7 +7,8 @@ out, which every two spellings within two edits have in common. A phonetic block
 that differ in vowels and like sounds, a leave-out block only the spellings two letters away from it;
 repeated rows don't enlarge either. Pairs in a block are compared by Jaro–Winkler and edit distance:
 one or two slips of typing link. Letter pairs that well-attested names lack are further evidence of a
-misspelling; with them, edits that are no slips link too. Cut-off names and names without trade join the one organisation they can mean. Connected components of the accepted links are the entities.
+misspelling; with them, edits that are no slips link too. A spelling near several better attested ones follows the closest; all links between spellings
+without such a one count. Cut-off names and names without trade components of the accepted links are the entities.
 
 Defined results
   null, empty and white-space names, words that hide the employer  → no entity
@@ -198,7 +199,7 @@ def link_names(names: DataFrame, name: str) -> DataFrame:
     letters = keys.where("forms >= 3").select(F.explode(F.expr("transform(sequence(1, greatest(length(core) - 1, 1)), i -> substring(core, i, 2))")).alias("two"))
     known = {r.two: r["count"] for r in letters.groupBy("two").count().collect()}
     named = keys.where("trade <> ''").withColumn("odd", F.pandas_udf(_odd_check(known), "boolean")("core"))
-    # slips: keys of one trade in a common block; each takes the closest one that is no less attested
+    # slips: keys of one trade in a common block
     blocked = named.select("trade", "key", "core", "forms", "odd", F.explode(F.pandas_udf(_blocks, "array<string>")("core")).alias("block"))
     a, b = (blocked.select("trade", "block", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "core", "forms", "odd")]) for side in "ab")
     # leaving out up to two letters finds every pair two edits apart
@@ -211,18 +212,28 @@ def link_names(names: DataFrame, name: str) -> DataFrame:
     grown = single.withColumn("n", F.length("core")).where(f"n > {STEM}").withColumn("stem", F.explode(F.expr(f"transform(sequence({STEM}, n - 1), i -> left(core, i))")))
     short = single.where(f"length(core) >= {STEM}").select("trade", F.col("key").alias("key_a"), F.col("forms").alias("forms_a"), F.explode(F.expr("array_distinct(array(core, regexp_replace(core, 'y$', '')))")).alias("stem"))
     ends = short.join(grown.select("trade", "stem", F.col("key").alias("key_b"), F.col("forms").alias("forms_b"), "n"), ["trade", "stem"]).where("forms_b >= forms_a AND key_a <> key_b")
-    # beginnings of two names may look like slips of each other, so they take no part in slips
+    # a continuation is no slip, and beginnings of two names may look like slips of each other
     begun = ends.where("n >= length(stem) + 2").select("key_a").distinct()
-    scored = scored.join(begun, "key_a", "left_anti").join(begun.withColumnRenamed("key_a", "key_b"), "key_b", "left_anti")
-    slipped = scored.where(one | two).groupBy("key_a").agg(F.max_by("key_b", F.struct(-F.col("edits"), "forms_b", "score", "key_b")).alias("key_b"))
-    # continuations that are slips of one spelling count as that one
-    back = slipped.select(F.col("key_a").alias("key_b"), F.col("key_b").alias("key_a"), F.lit(True).alias("mutual"))
-    meant = F.when(F.col("mutual"), F.least("key_a", "key_b")).otherwise(F.col("key_b"))
-    same = slipped.join(back, ["key_a", "key_b"], "left").select(F.col("key_a").alias("key_b"), meant.alias("meant"))
-    ends = ends.join(same, "key_b", "left").select("key_a", F.coalesce("meant", "key_b").alias("key_b"), "forms_b").groupBy("key_a", "key_b").agg(F.max("forms_b").alias("forms_b")).where("key_a <> key_b")
+    longer = lambda x, y: f"(instr({x}, ' ') = 0 AND startswith({y}, {x}) AND length({y}) >= length({x}) + 2)"
+    both = begun.withColumn("begun_a", F.lit(True)), begun.select(F.col("key_a").alias("key_b"), F.lit(True).alias("begun_b"))
+    slipped = scored.where(one | two).where(f"NOT {longer('core_a', 'core_b')} AND NOT {longer('core_b', 'core_a')}")
+    near = cut(slipped.join(both[0], "key_a", "left").join(both[1], "key_b", "left").where("begun_a IS NULL OR begun_b IS NULL").select("key_a", "key_b", "forms_a", "forms_b", "edits", "score"))
+    closest = F.max_by("key_b", F.struct(-F.col("edits"), "forms_b", "score", "key_b"))
+    # a key near several better attested names is a spelling of the closest one
+    leaders = near.where("forms_a < forms_b").groupBy("key_a").agg(closest.alias("key_b"))
+    # of keys equally attested, those that have such a name of their own follow it, the others link with all like them
+    even = near.where("forms_a = forms_b")
+    even = even.unionByName(even.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"), "forms_a", "forms_b", "edits", "score")).distinct()
+    # continuations that are spellings of one name count as that one
+    first = even.groupBy("key_a").agg(F.min("key_b").alias("even"))
+    meant = leaders.join(first, "key_a", "full").select(F.col("key_a").alias("key_b"), F.coalesce("key_b", F.least("key_a", "even")).alias("meant"))
+    ends = ends.join(meant, "key_b", "left").select("key_a", F.coalesce("meant", "key_b").alias("key_b"), "forms_b").groupBy("key_a", "key_b").agg(F.max("forms_b").alias("forms_b")).where("key_a <> key_b")
     best = ends.groupBy("key_a").agg(F.count_if(F.col("forms_b") > 1).alias("well"), F.count("*").alias("n"), F.max_by("key_b", F.struct("forms_b", "key_b")).alias("key_b"))
     cuts = best.where("well = 1 OR (well = 0 AND n = 1)").select("key_a", "key_b")
-    links = slipped.unionByName(cuts)
+    led = cut(cuts.unionByName(leaders.join(cuts.select("key_a"), "key_a", "left_anti")))
+    even = even.join(led.select("key_a"), "key_a", "left_anti").join(led.select(F.col("key_a").alias("key_b"), F.lit(True).alias("led")), "key_b", "left")
+    follow = even.where("led").groupBy("key_a").agg(closest.alias("key_b"))
+    links = led.unionByName(follow).unionByName(even.where("led IS NULL").select("key_a", "key_b"))
     entities = connected_components(keys.select(F.col("key").alias("node")), links.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
     grouped = keys.join(entities, keys.key == entities.node).select("key", "trade", "core", "lead", "forms", "component")
     # names without trade: the one entity whose leading name or whole name they are
