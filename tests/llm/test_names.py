@@ -97,6 +97,15 @@ def test_the_beginning_of_another_name_keeps_its_misspellings(spark):
     assert any({*short, "Vemabrio Foods"} <= c for c in got)
 
 
+def test_names_without_trade_are_compared(spark):
+    got = clusters(spark, ["Godupecha", "Godupecha Ltd.", "Godupehca", "Godupech", "Acme Shipping", "Acme Shiping", *dressed("Vemabiro Foods"), "Vemabrio", "Vemab", *dressed("Tudokeza Foods"), *dressed("Tudokeza Health"), "Tudokzea"])
+    assert {"Godupecha", "Godupecha Ltd.", "Godupehca", "Godupech"} in got
+    assert {"Acme Shipping", "Acme Shiping"} in got
+    assert {*dressed("Vemabiro Foods"), "Vemabrio", "Vemab"} in got
+    # as close to two organisations, which stay apart
+    assert {"Tudokzea"} in got and {*dressed("Tudokeza Foods")} in got and {*dressed("Tudokeza Health")} in got
+
+
 def test_empty_and_long(spark):
     assert link_names(names(spark, []), "name").count() == 0
     assert link_names(names(spark, ["x" * 50_000 + " Health", "x" * 50_000 + " Health Inc", "a"]), "name").select("entity").distinct().count() == 2

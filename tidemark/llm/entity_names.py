@@ -14,6 +14,7 @@ Defined results
   null, empty and white-space names, words that hide the employer  → no entity
   repeated rows                                                    → count once
   a name without trade that two organisations share                → an entity of its own spelling
+  a misspelt or cut-off one that is as close to two organisations  → an entity of its own spelling
   a cut-off name that continues in two ways                        → an entity of its own spelling
   very long names                                                  → read whole; only equal readings link
 """
@@ -24,7 +25,7 @@ import html
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.folding import fold
@@ -189,6 +190,40 @@ def _odd_check(known: dict[str, int]):
     return odd
 
 
+def _accepted() -> Column:
+    """Whether a pair with edits, score, slip and odd_a links."""
+    one = (F.col("edits") == 1) & (F.col("score") >= CLOSE) & (F.col("slip") | F.col("odd_a"))
+    two = (F.col("edits") == 2) & ((F.col("slip") & (F.col("score") >= CLOSE_SLIPS)) | (F.col("odd_a") & (F.col("score") >= CLOSE_TWO)))
+    return one | two
+
+
+def _join_bare(bare: DataFrame, alias: DataFrame, odd) -> DataFrame:
+    """key, entity of names without trade (key, core, forms, component) that are spelt like no alias (component, core).
+
+    Slips of each other are one name. It joins the organisation whose alias is the closest, if one
+    alone is; failing that, the one name or organisation that it is a cut-off of and less attested than.
+    """
+    targets = cut(bare.select(F.col("key").alias("key_b"), F.col("core").alias("core_b"), F.col("forms").alias("forms_b"), F.lit(None).cast("string").alias("owner")).unionByName(
+        alias.select(F.lit(None).cast("string").alias("key_b"), F.col("core").alias("core_b"), F.lit(None).cast("long").alias("forms_b"), F.col("component").alias("owner"))))
+    blocks = F.pandas_udf(_blocks, "array<string>")
+    a = bare.select(F.col("key").alias("key_a"), F.col("core").alias("core_a"), odd("core").alias("odd_a"), F.explode(blocks("core")).alias("block"))
+    b = targets.select("core_b", F.explode(blocks("core_b")).alias("block")).distinct()
+    pairs = a.join(b, "block").where("core_a <> core_b").drop("block").distinct()
+    near = pairs.withColumn("c", F.pandas_udf(_closeness, "struct<edits int, score double, slip boolean>")("core_a", "core_b")).select("*", "c.*").where(_accepted())
+    near = cut(near.join(targets, "core_b").select("key_a", "key_b", "owner", "edits"))
+    groups = connected_components(bare.select(F.col("key").alias("node")), near.where("owner IS NULL").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))).withColumnRenamed("component", "group")
+    # the closest organisations of each group of spellings
+    owners = near.where("owner IS NOT NULL").join(groups, F.col("key_a") == F.col("node")).groupBy("group", "edits").agg(F.min("owner").alias("owner"), F.count_distinct("owner").alias("rivals"))
+    owners = owners.groupBy("group").agg(F.min_by(F.struct("owner", "rivals"), "edits").alias("o")).select("group", F.when(F.col("o.rivals") == 1, F.col("o.owner")).otherwise(F.col("group")).alias("joined"))
+    found = cut(groups.join(owners, "group", "left").select(F.col("node").alias("key"), "group", F.coalesce("joined", "group").alias("entity"), F.col("joined").isNotNull().alias("decided")))
+    # cut-off names
+    grown = targets.where(f"instr(core_b, ' ') = 0 AND length(core_b) > {STEM} AND length(core_b) <= {LONGEST}").select("key_b", "forms_b", "owner", F.explode(F.expr(f"transform(sequence({STEM}, length(core_b) - 1), i -> left(core_b, i))")).alias("core"))
+    ends = bare.join(grown, "core").where("owner IS NOT NULL OR forms_b > forms").join(found.select(F.col("key").alias("key_b"), F.col("entity").alias("other")), "key_b", "left")
+    ends = ends.select("key", F.coalesce("owner", "other").alias("meant")).join(found.where("NOT decided"), "key").where("meant <> entity")
+    ends = ends.groupBy("group").agg(F.min("meant").alias("meant"), F.count_distinct("meant").alias("n")).where("n = 1")
+    return found.join(ends, "group", "left").select("key", F.coalesce("meant", "entity").alias("entity"))
+
+
 def link_names(names: DataFrame, name: str) -> DataFrame:
     """name, entity: each distinct name that names somebody, and the id of its cluster."""
     distinct = names.select(F.col(f"`{name}`").cast("string").alias("name")).where("name IS NOT NULL").distinct()
@@ -205,8 +240,6 @@ def link_names(names: DataFrame, name: str) -> DataFrame:
     # leaving out up to two letters finds every pair two edits apart
     pairs = a.join(b, ["trade", "block"]).where("key_a <> key_b AND forms_a <= forms_b").drop("trade", "block").distinct()
     scored = pairs.withColumn("c", F.pandas_udf(_closeness, "struct<edits int, score double, slip boolean>")("core_a", "core_b")).select("*", "c.*")
-    one = (F.col("edits") == 1) & (F.col("score") >= CLOSE) & (F.col("slip") | F.col("odd_a"))
-    two = (F.col("edits") == 2) & ((F.col("slip") & (F.col("score") >= CLOSE_SLIPS)) | (F.col("odd_a") & (F.col("score") >= CLOSE_TWO)))
     # cut-off names: the one key of the trade that begins like it
     single = named.where(f"instr(core, ' ') = 0 AND length(core) <= {LONGEST}")
     grown = single.withColumn("n", F.length("core")).where(f"n > {STEM}").withColumn("stem", F.explode(F.expr(f"transform(sequence({STEM}, n - 1), i -> left(core, i))")))
@@ -216,7 +249,7 @@ def link_names(names: DataFrame, name: str) -> DataFrame:
     begun = ends.where("n >= length(stem) + 2").select("key_a").distinct()
     longer = lambda x, y: f"(instr({x}, ' ') = 0 AND startswith({y}, {x}) AND length({y}) >= length({x}) + 2)"
     both = begun.withColumn("begun_a", F.lit(True)), begun.select(F.col("key_a").alias("key_b"), F.lit(True).alias("begun_b"))
-    slipped = scored.where(one | two).where(f"NOT {longer('core_a', 'core_b')} AND NOT {longer('core_b', 'core_a')}")
+    slipped = scored.where(_accepted()).where(f"NOT {longer('core_a', 'core_b')} AND NOT {longer('core_b', 'core_a')}")
     near = cut(slipped.join(both[0], "key_a", "left").join(both[1], "key_b", "left").where("begun_a IS NULL OR begun_b IS NULL").select("key_a", "key_b", "forms_a", "forms_b", "edits", "score"))
     closest = F.max_by("key_b", F.struct(-F.col("edits"), "forms_b", "score", "key_b"))
     # a key near several better attested names is a spelling of the closest one
@@ -236,12 +269,17 @@ def link_names(names: DataFrame, name: str) -> DataFrame:
     links = led.unionByName(follow).unionByName(even.where("led IS NULL").select("key_a", "key_b"))
     entities = connected_components(keys.select(F.col("key").alias("node")), links.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
     grouped = keys.join(entities, keys.key == entities.node).select("key", "trade", "core", "lead", "forms", "component")
-    # names without trade: the one entity whose leading name or whole name they are
+    # names without trade: the one entity whose leading name or whole name they are, or that they are a misspelling of
     full = grouped.where("trade <> ''")
     alias = full.select("component", F.explode(F.array_distinct(F.array("core", "lead"))).alias("core")).distinct()
+    alias = cut(alias)
     owner = alias.groupBy("core").agg(F.min("component").alias("owner"), F.count("*").alias("rivals")).where("rivals = 1").select("core", "owner")
-    bare = grouped.where("trade = ''").join(owner, "core", "left").select("key", F.coalesce("owner", "component").alias("entity"))
-    all_keys = full.select("key", F.col("component").alias("entity")).unionByName(bare)
+    bare = cut(grouped.where("trade = ''").join(alias.select("core").distinct().withColumn("spelt", F.lit(True)), "core", "left"))
+    joined = bare.where("spelt").join(owner, "core", "left").select("key", F.coalesce("owner", "component").alias("entity"))
+    others = bare.where("spelt IS NULL").select("key", "core", "forms", "component")
+    if not others.isEmpty():
+        joined = joined.unionByName(_join_bare(others, alias, F.pandas_udf(_odd_check(known), "boolean")))
+    all_keys = full.select("key", F.col("component").alias("entity")).unionByName(joined)
     return read.select("name", "key").join(all_keys, "key").select("name", "entity")
 
 
