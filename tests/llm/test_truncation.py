@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tidemark.llm.truncation import cut_texts, ending, hidden_limits, lengths, truncation_by_source
+from tidemark.llm.truncation import common_words, cut_texts, ending, hidden_limits, lengths, truncation_by_source
 
 WHO, DO, WHAT = ["The night desk", "A calm hire", "Each shift lead", "The field crew", "Our trio"], ["keeps", "checks", "turns", "moves", "counts", "sorts"], ["old records", "new ledgers", "spare lenses", "heavy pallets", "small meters", "wet samples"]
 
@@ -82,3 +82,9 @@ def test_empty_and_long(spark):
     assert cut_texts(docs, "doc_id", "text", "source").count() == 0
     long = spark.createDataFrame([(1, "A word and more. " * 20_000 + "cut in the mid", "s"), (1, "A word and more. " * 20_000 + "cut in the mid", "s"), (2, "A word and more.", "s")], docs.schema)
     assert {r.doc_id for r in cut_texts(long, "doc_id", "text", "source").collect()} == {1}
+
+
+def test_every_common_word_counts(spark):
+    word = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(5))
+    texts = [(" ".join(word(k) for k in range(at, at + 1000)),) for at in range(0, 101_000, 1000)]
+    assert len(common_words(spark.createDataFrame(texts * 3, "text string"), "text")) == 101_000

@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.folding import fold
 from tidemark.session import cut, salted_join
 
-#: A word is common from this share of texts on, and in three texts at least; at most so many are kept.
-COMMON_SHARE, COMMON_MOST = 0.0005, 100_000
+#: A word is common from this share of texts on, and in three texts at least.
+COMMON_SHARE = 0.0005
 #: A limit: so many texts at one length, so many times the mean of the lengths around, within so many.
 LIMIT_TEXTS, LIMIT_TIMES, LIMIT_AROUND = 10, 6, 20
 #: Share of a context's occurrences that must end a line for the context to be an ending.
@@ -134,7 +134,7 @@ def hidden_limits(sized: DataFrame) -> DataFrame:
 
 
 def common_words(texts: DataFrame, text: str) -> frozenset[str]:
-    """The words of at least COMMON_SHARE of the texts: no more than a text has words over that share, so they fit the driver."""
+    """The words of at least COMMON_SHARE of the texts, all of them: no more than a text has words over that share, however many texts there are."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[str] = Counter()
@@ -150,7 +150,7 @@ def common_words(texts: DataFrame, text: str) -> frozenset[str]:
 
     totals = cut(texts.select(F.col(f"`{text}`").alias("t")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     docs = (totals.where("word = ''").first() or {"n": 0})["n"]
-    rows = totals.where((F.col("word") != "") & (F.col("n") >= max(3, COMMON_SHARE * docs))).orderBy(F.desc("n"), "word").limit(COMMON_MOST).collect()
+    rows = totals.where((F.col("word") != "") & (F.col("n") >= max(3, COMMON_SHARE * docs))).select("word").collect()
     return frozenset(r.word for r in rows)
 
 
