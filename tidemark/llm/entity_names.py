@@ -240,6 +240,8 @@ def link_names(names: DataFrame, name: str) -> DataFrame:
     # leaving out up to two letters finds every pair two edits apart
     pairs = a.join(b, ["trade", "block"]).where("key_a <> key_b AND forms_a <= forms_b").drop("trade", "block").distinct()
     scored = pairs.withColumn("c", F.pandas_udf(_closeness, "struct<edits int, score double, slip boolean>")("core_a", "core_b")).select("*", "c.*")
+    # an odd pair says nothing between names equally attested, unless both were seen in one form only
+    scored = scored.withColumn("odd_a", F.expr("odd_a AND (forms_a < forms_b OR forms_b = 1)"))
     # cut-off names: the one key of the trade that begins like it
     single = named.where(f"instr(core, ' ') = 0 AND length(core) <= {LONGEST}")
     grown = single.withColumn("n", F.length("core")).where(f"n > {STEM}").withColumn("stem", F.explode(F.expr(f"transform(sequence({STEM}, n - 1), i -> left(core, i))")))
