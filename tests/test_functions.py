@@ -78,6 +78,7 @@ def test_names(spark):
 
 def test_html():
     assert visible_text("<p>One <b>two</b></p><ul><li>a<li>b</ul><script>no</script>&amp; z") == "One two\na\nb\n& z"
+    assert visible_text("<table><tr><td>a</td><td>b</td></tr></table><nav>c</nav><hr>d") == "ab\ncd"
     assert visible_text("") == "" and visible_text("<p>" * 20_000 + "x") == "x"
     assert link_targets('<a href="https:&#x2F;&#x2F;a.example">x</a><a>y</a><a href="b">') == ["https://a.example", "b"]
 
@@ -90,6 +91,19 @@ def test_years(spark):
     assert len(evidence.min_years("x" * 500 + " 4 years of experience")[2]) == 240
 
 
+@pytest.mark.parametrize(("clause", "want"), [
+    ("3 plus years' experience", [3]), ("10 to 12+ years of experience", [10]), ("2–4 yrs experience", [2]), ("With over 20 years of experience", []), ("Candidates with 3+ years of relevant experience", [3]), ("we bring more than 20 years of experience", []),
+    ("18 years old with experience", []), ("300 years of experience", []), ("5 years " + "of " + "x" * 59 + " experience", [5]), ("5 years " + "of " + "x" * 70 + " experience", []), ("2 years of Go and 4 years of SQL experience", [2, 4]), ("+ years experience", []), ("years", []),
+])
+def test_years_of_one_clause(clause, want):
+    assert list(evidence.stated_years(clause)) == want
+
+
+def test_words_around():
+    assert evidence.words_around("One. a b c d e f g h $5 - $6 i j k; l", 21, 28) == ("c d e f g h", "i j k")
+    assert evidence.words_around("", 0, 0) == ("", "")
+
+
 @pytest.mark.parametrize(("value", "want"), [
     ("Remote - US", [(["remote"], False, ["US"])]), ("Hybrid - Berlin; London (On-site)", [(["hybrid"], False, ["Berlin"]), (["onsite"], False, ["London"])]), ("Anywhere", [([], True, [])]), ("Remote in USA or based in Paris office", [(["remote"], False, ["USA"]), ([], False, ["Paris"])]),
     ("Seattle, WA / TBD", [([], False, ["Seattle", "WA"]), ([], False, [])]), ("Remoteville", [([], False, ["Remoteville"])]), ("", []), (None, None),

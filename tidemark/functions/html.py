@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Elements that start a new line, and elements whose content isn't visible.
-BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+BLOCKS = frozenset("p br div li ul ol h1 h2 h3 h4 h5 h6 tr table section article blockquote pre".split())
 HIDDEN = frozenset("head noscript script style template".split())
 
 
