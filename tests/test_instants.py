@@ -31,6 +31,8 @@ CASES = [
     ("0000-00-00T00:00:00Z", None, None, None),
     ("2024-02-29", "UTC", None, ms(2024, 2, 29)),
     ("2023-02-29", "UTC", None, None),
+    ("1969-07-20T20:17:40Z", None, None, ms(1969, 7, 20, 20, 17, 40)), ("2150-01-01 00:00", "UTC", None, ms(2150, 1, 1)), ("14 July 1789", "UTC", None, ms(1789, 7, 14)),
+    ("1970-01-01T00:00:00Z", None, None, None), ("9999-12-31 23:59:59", "UTC", None, None), ("0001-01-01", "UTC", None, None),
     ("2026-01-01 25:00:00", "UTC", None, None),
     ("2026-01-01 00:00:00 +15:00", "UTC", None, None),
     # inside the gap of 8 March 2026, and both readings of 1 November 2026

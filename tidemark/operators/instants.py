@@ -5,7 +5,8 @@ Every notation is one branch of a single regex alternation with named groups. On
 then checked and the instant is put together with integer day arithmetic. No UDF, no shuffle.
 
 Defined results
-  null, empty, placeholder, impossible or unknown text   → null
+  null, empty, placeholder, impossible or unknown text   → null; years are 1 to 9999
+  stored numbers                                         → the unit under which they fall in 1990 to 2099, else null
   all-number dates                                       → read by ``date_order`` ('MDY' or 'DMY');
                                                            null where it is null and both readings differ
   text without zone                                      → local time in ``time_zone``; null where that is null
@@ -31,8 +32,10 @@ ZONES = {"Z": 0, "UTC": 0, "GMT": 0, "WET": 0, "BST": 60, "WEST": 60, "CET": 60,
 # Days before each month in a common year.
 DAYS_IN_MONTH = [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
 
-#: Instants outside [EARLIEST, LATEST) years are placeholders.
+#: Years by which the size of a stored number tells its unit.
 EARLIEST, LATEST = 1990, 2100
+# Calendar dates written where no date is known, as yyyymmdd.
+PLACEHOLDERS = [10101, 19000101, 19700101, 99991231]
 
 _MON = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 _DAY = r"(?:(?:Mon|Tue|Tues|Wed|Thu|Thur|Thurs|Fri|Sat|Sun)(?:[a-z]*),? +)?"
@@ -146,7 +149,8 @@ def with_instant(df: DataFrame, text: str, out: str, time_zone: str | None = Non
         month=F.when(c["a"].isNull(), month).otherwise(by_order(c["a"], c["b"])), day=F.when(c["a"].isNull(), c["d"]).otherwise(by_order(c["b"], c["a"])),
         hour=F.when(c["h"].isNull(), 0).when(c["ap"] == "", F.when(c["h"] < 24, c["h"])).when(c["h"].between(1, 12), c["h"] % 12 + pm), mi=F.coalesce(c["mi"], F.lit(0)), s=F.coalesce(c["s"], F.lit(0)),
     ))
-    ok = c["y"].between(EARLIEST, LATEST - 1) & c["month"].between(1, 12) & (c["day"] >= 1) & (c["day"] <= days_in_month(c["y"], c["month"])) & c["hour"].isNotNull() & (c["mi"] < 60) & (c["s"] < 60)
+    stand_in = (c["y"] * 10000 + c["month"] * 100 + c["day"]).isin(PLACEHOLDERS)
+    ok = (c["y"] >= 1) & ~stand_in & c["month"].between(1, 12) & (c["day"] >= 1) & (c["day"] <= days_in_month(c["y"], c["month"])) & c["hour"].isNotNull() & (c["mi"] < 60) & (c["s"] < 60)
     df = df.withColumns(at(seconds=F.when(ok, days_from_civil(c["y"], c["month"], c["day"]) * 86400 + c["hour"] * 3600 + c["mi"] * 60 + c["s"])))
     df = df.withColumns(at(zoned=F.when(c["z"] == "", F.to_utc_timestamp(F.timestamp_seconds(c["seconds"]), c["zone"]))))
     exists = F.from_utc_timestamp(c["zoned"], c["zone"]) == F.timestamp_seconds(c["seconds"])
