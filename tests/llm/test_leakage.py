@@ -1,6 +1,8 @@
 import random
 
-from tidemark.llm.leakage import LeakFinder, leaks, test_items, without_leaks
+from pyspark.sql import functions as F
+
+from tidemark.llm.leakage import LeakFinder, cleaned, facts_of, leaks, test_items, without_leaks
 
 test_items.__test__ = False
 SHARED = "Answer using only the information given."
@@ -47,6 +49,53 @@ def test_tables(spark):
     items = test_items(spark.createDataFrame([*ITEMS, (None, "x"), (9, None)], "i bigint, t string"), "i", "t")
     out = leaks(docs, "id", "text", items)
     assert sorted(map(tuple, out.collect())) == [(1, 1), (1, 1)]
+    # beyond the broadcast the same by a join
+    assert sorted(map(tuple, leaks(docs, "id", "text", items, most=0).collect())) == [(1, 1), (1, 1)]
+    left = {r.doc_id: r.text for r in cleaned(docs.withColumn("text", F.concat(F.lit("Before it. "), "text", F.lit(" And after."))), "id", "text", items).collect()}
+    assert left[1].startswith("Before it. ") and left[1].endswith(" And after.") and "braille" not in left[1] and left[2] == f"Before it. {FILL} And after." and left[3] is None
     assert sorted(r.id for r in without_leaks(docs, "id", out).collect()) == [2, 3, 4]
     assert leaks(docs.limit(0), "id", "text", items).count() == 0
-    assert leaks(docs, "id", "text", []).count() == 0
+    assert leaks(docs, "id", "text", items.limit(0)).count() == 0
+
+
+def test_items_that_share_passages():
+    a, b = ITEMS[0][1].removeprefix(SHARED), ITEMS[3][1].removeprefix(SHARED)
+    # an item within another one, and one whose halves stand in two others
+    inner = " ".join(ITEMS[2][1].split()[7:40])
+    assert LeakFinder([*ITEMS, (50, inner)]).find(FILL + inner + FILL) == [3, 50]
+    halves = " ".join(a.split()[:24] + b.split()[24:])
+    assert 60 in LeakFinder([*ITEMS, (60, halves)]).find(FILL + halves + FILL)
+    # thousands of items of one pattern lose nothing
+    many = [(k, passage(random.Random(k), f"q{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}")) for k in range(1000, 2000)]
+    finder = LeakFinder(many)
+    for k, text in many[::300]:
+        assert k in finder.find(FILL + text + FILL)
+
+
+def test_figures_and_names_are_facts():
+    text = "Ask Rudo on 5 May. Then he left, “Olga” said: Go to 2b!"
+    assert [w for w, f in zip(text.replace(".", "").replace(",", "").replace("“", "").replace("”", "").replace(":", "").replace("!", "").split(), facts_of(text)) if f] == ["Rudo", "5", "May", "Olga", "2b"]
+    assert facts_of("") == []
+
+
+def test_a_misspelt_name_is_still_the_name():
+    words = ITEMS[3][1].split()
+    part = " ".join(words[6:32]).replace("nozed", "nozzed")
+    assert found(FILL + part + FILL) == [4]
+
+
+def test_many_hits_take_linear_time():
+    assert found(" ".join(ITEMS[1][1].split()[18:30]) * 1) == []
+    assert found((" ".join(ITEMS[1][1].split()[18:26]) + " and so on, ") * 20_000) == []
+
+
+def test_against_every_window():
+    """The tiles find what an alignment with the whole text finds."""
+    finder = LeakFinder(ITEMS)
+    r = random.Random(5)
+    for _ in range(60):
+        k, start, size = r.randrange(len(ITEMS)), r.randrange(30), r.randrange(10, 50)
+        text = " ".join((FILL * 2).split()[: r.randrange(1, 130)] + ITEMS[k][1].split()[start : start + size] + FILL.split()[: r.randrange(60)])
+        words = text.lower().replace(".", "").replace("?", "").split()
+        want = sorted(i for item, (i,) in zip(finder.items, finder.ids) if item.stretch(words))
+        assert finder.find(text) == want

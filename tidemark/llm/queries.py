@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.entity_names import entity_pairs, link_names
 from tidemark.llm.gazetteer import place_ids
-from tidemark.llm.leakage import leaks, test_items
+from tidemark.llm.leakage import cleaned, leaks, test_items
 from tidemark.llm.packing import TOKENIZER, pack, token_counts
 from tidemark.llm.truncation import cut_texts
 from tidemark.operators.packed import explode_pieces
@@ -37,6 +37,14 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents").where("doc_id IS NOT NULL"), "doc_id", "text", items).distinct()
 
 
+def p8_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose a span, and how many characters stay."""
+    items = test_items(table(spark, sf_dir, "eval_items"), "item_id", "item_text")
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").distinct()
+    left = cleaned(docs.select(F.struct("doc_id", F.length("text").alias("n")).alias("d"), "text"), "d", "text", items)
+    return left.select("doc_id.doc_id", F.col("doc_id.n").alias("n_before"), F.length("text").alias("n_left")).where("n_left < n_before")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_texts(table(spark, sf_dir, "documents"), "doc_id", "text", "source", "board_token").select("doc_id").distinct()
 
