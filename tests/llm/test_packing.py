@@ -9,37 +9,32 @@ from pyspark.sql import functions as F
 from tidemark.llm.packing import TOKENIZER, pack, sum_of_squares, token_counts
 
 
-def brute(sizes, capacity):
-    """The same rule by trying every open container."""
-    filled, placed = [], []
-    for s in sizes:
-        def squares(levels):
-            gaps = {}
-            for f in levels:
-                if f < capacity:
-                    gaps[f] = gaps.get(f, 0) + 1
-            return sum(n * n for n in gaps.values())
-
-        options = [(squares([*filled[:k], f + s, *filled[k + 1 :]]), 0, k) for k, f in enumerate(filled) if f + s <= capacity]
-        options.append((squares([*filled, s]), 1, len(filled)))
-        placed.append(min(options)[0])
-        k = min(options)[2]
-        filled = [*filled[:k], filled[k] + s, *filled[k + 1 :]] if k < len(filled) else [*filled, s]
-    return placed
+def squares(levels, capacity):
+    """Sum of the squared numbers of open containers per gap."""
+    open_ = [f for f in levels if f < capacity]
+    return sum(open_.count(f) ** 2 for f in set(open_))
+
+
+def brute(filled, size, capacity):
+    """The smallest sum that any placement of the next item can give, by trying every container and a new one."""
+    inside = [[*filled[:k], f + size, *filled[k + 1 :]] for k, f in enumerate(filled) if f + size <= capacity]
+    return min(squares(levels, capacity) for levels in [*inside, [*filled, size]])
 
 
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 12), max_size=30))
 def test_rule_against_brute_force(sizes):
-    capacity, filled, got = 12, {}, []
-    where = sum_of_squares(np.array(sizes, dtype=np.int64), capacity)
-    for s, c in zip(sizes, where.tolist()):
-        filled[c] = filled.get(c, 0) + s
-        levels = [f for f in filled.values() if f < capacity]
-        got.append(sum(levels.count(x) ** 2 for x in set(levels)))
-    assert all(f <= capacity for f in filled.values())
-    assert got[:1] == brute(sizes, capacity)[:1]
-    assert set(filled) == set(range(len(filled)))
+    capacity, filled = 12, []
+    for size, c in zip(sizes, sum_of_squares(np.array(sizes, dtype=np.int64), capacity).tolist()):
+        best = brute(filled, size, capacity)
+        filled = [*filled[:c], filled[c] + size, *filled[c + 1 :]] if c < len(filled) else [*filled, size]
+        assert filled[c] <= capacity and squares(filled, capacity) == best
+
+
+def test_rounds_end_when_none_is_settled(spark):
+    # no two of these fit together, so that no container is ever full enough
+    df = spark.createDataFrame([(k, 60) for k in range(60)], "id bigint, size bigint")
+    assert pack(df, "id", "size", 100, group=10).select("container").distinct().count() == 60
 
 
 def test_waste_is_small():

@@ -5,7 +5,8 @@ own and one rest; nothing else is split. Each group of items, spread by hash so
 beyond ``GROUP`` items, is packed on its own: an item goes where the sum of the squared numbers of
 open containers per remaining gap becomes smallest, larger items first. A group leaves a few
 half-empty containers; these are opened again and their items packed in the next round, in fewer
-groups, until one group holds them all. No group of unbounded size reaches a task, nothing the driver.
+groups, until one group holds them all or a round settles none. No group of unbounded size reaches a
+task, only the number of items left reaches the driver.
 
 Defined results
   null text                     → no item
@@ -21,10 +22,12 @@ from __future__ import annotations
 import base64
 from collections import defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import cut
@@ -48,11 +51,13 @@ def _encoder(path: str):
 
 
 def token_counts(text: Column, path: str = TOKENIZER) -> Column:
-    """bigint: tokens of the whole text; null for null. The vocabulary file must stand at path on every executor."""
+    """bigint: tokens of the whole text; null for null. The vocabulary file at path goes to every executor."""
+    SparkSession.active().sparkContext.addFile(path)
+    name = Path(path).name
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _encoder(path)
+        encoder = _encoder(SparkFiles.get(name))
         for texts in batches:
             yield pd.Series([None if t is None else len(encoder.encode_ordinary(t)) for t in texts], dtype="Int64")
 
@@ -96,7 +101,7 @@ def _pack_group(capacity: int, number: int, loose: int):
         sizes = rows["n_tokens"].to_numpy(dtype=np.int64)
         where = sum_of_squares(sizes, capacity)
         filled = np.bincount(where, weights=sizes, minlength=1)
-        rows["container"] = (np.int64(number) << 56) + (rows["grp"].to_numpy(dtype=np.int64) << 28) + where
+        rows["container"] = [f"{number}-{g}-{w}" for g, w in zip(rows["grp"], where)]
         rows["settled"] = (capacity - filled[where]) <= loose
         return rows
 
@@ -114,14 +119,15 @@ def pack(items: DataFrame, item_id: str, size: str, capacity: int, group: int =
     # pieces that fill a container alone need no packing
     done = [pieces.where(F.col("n_tokens") == capacity).select("item", "piece", "n_tokens", F.concat_ws("-", F.lit("full"), F.col("item").cast("string"), "piece").alias("container"))]
     left = pieces.where(F.col("n_tokens") < capacity)
-    number, loose = 0, int(capacity * LOOSE)
+    number, loose, before = 0, int(capacity * LOOSE), None
     while True:
         count = left.count()
         groups = -(-count // group)
         spread = left.select("item", "piece", "n_tokens", F.pmod(F.xxhash64("item", "piece", F.lit(number)), F.lit(max(groups, 1))).alias("grp"))
-        final = groups <= 1 or number >= 6
-        packed = cut(spread.groupBy("grp").applyInPandas(_pack_group(capacity, number, capacity if final else loose), spread.schema.simpleString()[7:-1].replace(":", " ") + ", container long, settled boolean"))
-        done.append(packed.where("settled").select("item", "piece", "n_tokens", F.col("container").cast("string").alias("container")))
+        # items that no round settles stay where they are; as they were spread anew, more rounds would hardly help
+        final, before = groups <= 1 or count == before, count
+        packed = cut(spread.groupBy("grp").applyInPandas(_pack_group(capacity, number, capacity if final else loose), spread.schema.simpleString()[7:-1].replace(":", " ") + ", container string, settled boolean"))
+        done.append(packed.where("settled").select("item", "piece", "n_tokens", "container"))
         if final:
             break
         left, number = packed.where("NOT settled").select("item", "piece", "n_tokens"), number + 1
