@@ -58,6 +58,18 @@ def test_limits(spark):
     assert (1, 255) in found
 
 
+def test_small_sources_show_limits_and_copies_do_not(spark):
+    sized = lambda rows: spark.createDataFrame([(source, copy, ends, lengths("x" * n)) for source, copy, ends, n in rows], "source string, copy string, ends boolean, sizes array<int>")
+    limits = lambda rows: {(r.source, r.length) for r in hidden_limits(sized(rows)).collect() if r.encoding == 0}
+    others = [("s", f"o{n}", True, n) for n in range(10, 400, 7)]
+    assert limits([*others, *[("s", f"c{k}", False, 255) for k in range(4)]]) == {("s", 255)}
+    # one text four times, four complete texts of one length, and the same number over any size of source
+    assert limits([*others, *[("s", "c", False, 255) for _ in range(4)]]) == set()
+    assert limits([*others, *[("s", f"c{k}", True, 255) for k in range(4)]]) == set()
+    assert limits([(None, f"c{k}", False, 80) for k in range(3)]) == {(None, 80)}
+    assert limits([]) == set()
+
+
 def test_lengths():
     assert lengths('a<b>&"\n') == [7, 7, 7, 8, 8, 7 + 4 + 6, 7 + 4 + 6, 7 + 4 + 6 + 5, 7 + 4 + 6 + 1, 9, 9, 9]
     assert lengths("é😀") == [2, 6, 3, 2, 6, 2, 6, 2, 2, 2, 6, 18]

@@ -9,7 +9,7 @@ from tidemark.llm.entity_names import entity_pairs, link_names
 from tidemark.llm.gazetteer import place_ids
 from tidemark.llm.leakage import cleaned, leaks, test_items
 from tidemark.llm.packing import TOKENIZER, pack, token_counts
-from tidemark.llm.truncation import cut_texts
+from tidemark.llm.truncation import cut_texts, truncation_by_source
 from tidemark.operators.packed import explode_pieces
 from tidemark.plans.problems import location_pieces
 from tidemark.session import table
@@ -49,6 +49,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_texts(table(spark, sf_dir, "documents"), "doc_id", "text", "source", "board_token").select("doc_id").distinct()
 
 
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source truncates, and by what it shows."""
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.struct("fetched_at", "text", "source", "board_token")).alias("d")).select("doc_id", "d.*")
+    return truncation_by_source(docs, cut_texts(docs, "doc_id", "text", "source", "board_token"), "source")
+
+
 #: Tokens that a container holds.
 CONTAINER = 2048
 

@@ -1,13 +1,14 @@
 """Texts cut off by field limits or in transfer.
 
-Two kinds of evidence, both taken over all documents:
+Two kinds of evidence, both taken over all documents, the limits first:
 
 Hidden limits. The length of every text is worked out again under alternative encodings
 (characters, UTF-8 bytes, UTF-16 units, entity escaping, JSON escaping, CRLF line ends and their
-combinations). Grouped by source and encoding, a field limit shows as a length at which far more
-texts end than at the lengths around it.
+combinations). Grouped by source and encoding, a field limit shows as a length at which several times
+more different texts end than at the lengths around it, most of them without an end of their own. A
+text at a limit that has no end of its own was cut by it.
 
-Endings. A text that ends in a mark of truncation (ellipsis, "[truncated]", half an entity, tag or
+Endings. What the limits leave open, such as cuts in transfer at any length, is judged by how it ends. A text that ends in a mark of truncation (ellipsis, "[truncated]", half an entity, tag or
 escape, a broken character, a dangling hyphen) was cut. One that ends in terminal punctuation is
 complete. Every other ending is held against all lines of the corpus: its last three words (two,
 where three were never met) either also end lines without punctuation, like list items, headings and
@@ -38,8 +39,8 @@ from tidemark.session import cut, salted_join
 
 #: A word is common from this share of texts on, and in three texts at least.
 COMMON_SHARE = 0.0005
-#: A limit: so many texts at one length, so many times the mean of the lengths around, within so many.
-LIMIT_TEXTS, LIMIT_TIMES, LIMIT_AROUND = 10, 6, 20
+#: A limit: so many times the mean number of texts at the lengths around, within so many, and this share of them without an end.
+LIMIT_TIMES, LIMIT_AROUND, LIMIT_OPEN = 6, 20, 0.5
 #: Share of a context's occurrences that must end a line for the context to be an ending.
 ENDS_SHARE = 0.05
 #: Contexts kept in a worker before it hands them on.
@@ -125,12 +126,17 @@ def lengths(text: str) -> list[int]:
 
 
 def hidden_limits(sized: DataFrame) -> DataFrame:
-    """source, encoding, length of every field limit, by the lengths alone. sized: source, sizes as lengths() gives them."""
-    by = sized.select("source", F.posexplode("sizes").alias("encoding", "length"))
-    counts = by.groupBy("source", "encoding", "length").count()
+    """source, encoding, length of every field limit. sized: source, sizes as lengths() gives them, and if known copy (what equal texts share) and ends (whether a text has an end of its own).
+
+    Relative to the lengths around, so that it holds for small and large sources alike; half a text is
+    added to their mean, as an empty neighbourhood is no proof, so three texts are the fewest that show a limit.
+    """
+    once = sized.dropDuplicates(["source", "copy"]) if "copy" in sized.columns else sized
+    by = once.select("source", F.col("ends") if "ends" in sized.columns else F.lit(False).alias("ends"), F.posexplode("sizes").alias("encoding", "length")).where("length > 0")
+    counts = by.groupBy("source", "encoding", "length").agg(F.count("*").alias("texts"), F.count_if(~F.col("ends")).alias("open"))
     near = Window.partitionBy("source", "encoding").orderBy("length").rangeBetween(-LIMIT_AROUND, LIMIT_AROUND)
-    around = counts.withColumn("around", (F.sum("count").over(near) - F.col("count")) / (2 * LIMIT_AROUND))
-    return around.where((F.col("count") >= LIMIT_TEXTS) & (F.col("count") >= LIMIT_TIMES * (F.col("around") + 0.5)) & (F.col("length") > 0)).select("source", "encoding", "length", F.col("count").alias("texts"))
+    around = counts.withColumn("around", (F.sum("texts").over(near) - F.col("texts")) / (2 * LIMIT_AROUND))
+    return around.where((F.col("texts") >= LIMIT_TIMES * (F.col("around") + 0.5)) & (F.col("open") >= LIMIT_OPEN * F.col("texts"))).select("source", "encoding", "length", "texts")
 
 
 def common_words(texts: DataFrame, text: str) -> frozenset[str]:
@@ -141,7 +147,7 @@ def common_words(texts: DataFrame, text: str) -> frozenset[str]:
         n = 0
         for batch in batches:
             for t in batch.iloc[:, 0]:
-                seen.update({w for w in _tokens(t, None) if len(w) < 40})
+                seen.update(set(_tokens(t, None)))
                 n += 1
             if len(seen) > HELD:
                 yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
@@ -215,18 +221,18 @@ def cut_texts(texts: DataFrame, doc_id: str, text: str, source: str, owner: str
 
     unseen = F.col("bare3") + F.col("stopped3") + F.col("more3") == 0
     complete = ~F.col("prose") & (is_ending(3) | (unseen & (F.col("final3") < 3) & is_ending(2)))
-    limits = hidden_limits(every)
-    at = judged.where("status IN ('open', 'padded')").select("doc_id", "source", F.posexplode("sizes").alias("encoding", "length"))
-    # limits are few: a source has at most one for every LIMIT_TEXTS of its lengths
+    limits = hidden_limits(every.where("status <> 'none'").withColumn("ends", F.col("status") == "complete"))
+    at = ends.select("doc_id", "source", F.posexplode("sizes").alias("encoding", "length"))
     limited = at.join(limits.withColumnRenamed("source", "s"), F.expr("source <=> s") & (at.encoding == limits.encoding) & (at.length == limits.length), "left_semi").select("doc_id").distinct().withColumn("limited", F.lit(True))
     judged = judged.join(limited, "doc_id", "left")
-    reason = F.when(F.col("status") == "cut", "mark").when(F.col("limited"), "limit").when((F.col("status") == "open") & ~complete, "ending")
+    reason = F.when(F.col("limited"), "limit").when(F.col("status") == "cut", "mark").when((F.col("status") == "open") & ~complete, "ending")
     return judged.select("doc_id", "source", reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def truncation_by_source(texts: DataFrame, found: DataFrame, source: str) -> DataFrame:
-    """source, texts, cut_texts, share: how often each source truncates."""
+    """source, texts, cut_texts, by_limit, by_mark, by_ending, share: how often each source truncates."""
     totals = texts.groupBy(F.col(f"`{source}`").alias("source")).agg(F.count("*").alias("texts"))
-    cuts = found.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("cut_texts"))
-    joined = totals.join(cuts, F.expr("source <=> s"), "left").select("source", "texts", F.coalesce("cut_texts", F.lit(0)).alias("cut_texts"))
-    return joined.withColumn("share", F.round(F.col("cut_texts") / F.col("texts"), 6))
+    kinds = [F.count_if(F.col("reason") == k).alias(f"by_{k}") for k in ("limit", "mark", "ending")]
+    cuts = found.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("cut_texts"), *kinds)
+    none = [F.coalesce(c, F.lit(0)).alias(c) for c in ("cut_texts", "by_limit", "by_mark", "by_ending")]
+    return totals.join(cuts, F.expr("source <=> s"), "left").select("source", "texts", *none).withColumn("share", F.round(F.col("cut_texts") / F.col("texts"), 6))
