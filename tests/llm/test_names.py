@@ -119,3 +119,70 @@ def test_components(spark):
     got = connected_components(spark.createDataFrame([(f"n{i:04d}",) for i in range(201)], "node string"), spark.createDataFrame(chain, "a string, b string"))
     assert {r.component for r in got.collect()} == {"n0000"}
     assert connected_components(nodes.limit(0), links.limit(0)).count() == 0
+
+
+def test_trades_of_no_list_and_nicknames_of_persons(spark):
+    got = clusters(spark, ["Zanzibar Bakery", "Zanzibar Bakry", "Kowalski Plumbing", "Kowalsky Plumbing", "Robert Miller Dental", "Bob Miller Dental", "Miller, Bobby Dental", "Bob Dental", "Rob Foods"])
+    assert got == sorted([{"Zanzibar Bakery", "Zanzibar Bakry"}, {"Kowalski Plumbing", "Kowalsky Plumbing"}, {"Robert Miller Dental", "Bob Miller Dental", "Miller, Bobby Dental"}, {"Bob Dental"}, {"Rob Foods"}], key=min)
+
+
+def test_names_in_other_scripts(spark):
+    rows = ["東京電力 Inc", "東京電力", "Газпром Inc", "Газпром", "三菱 Health", "東京 Health", "Сбербанк Health", "Себрбанк Health"]
+    got = clusters(spark, rows)
+    assert got == sorted([{"東京電力 Inc", "東京電力"}, {"Газпром Inc", "Газпром"}, {"三菱 Health"}, {"東京 Health"}, {"Сбербанк Health", "Себрбанк Health"}], key=min)
+
+
+def test_long_names_are_blocked_by_pieces(spark):
+    long = "Vemabirotudokezagodupechadramurado Rasepelokodupehachekotitechenorite"
+    assert len(long) > 60
+    for wrong in (long.replace("mura", "mrua"), long.replace("Vem", "Vm").replace("rite", "riite"), long.replace("dokeza", "dkeza").replace("kodu", "koodu")):
+        assert clusters(spark, [*dressed(f"{long} Foods"), f"{wrong} Foods"]) == [{*dressed(f"{long} Foods"), f"{wrong} Foods"}]
+
+
+def test_blocks_miss_no_pair_within_two_edits():
+    """Against an exact comparison of all pairs."""
+    import random
+
+    from tidemark.llm.entity_names import codes
+
+    r = random.Random(3)
+    letters = "aeioubdgkmprtvz"
+    cores = []
+    for size in [5, 6, 8, 9, 12, 20, 39, 40, 41, 42, 60, 90] * 12:
+        core = "".join(r.choice(letters) for _ in range(size))
+        cores.append(core)
+        for _ in range(2):
+            k = r.randrange(len(core) - 1)
+            core = r.choice([core[:k] + core[k + 1 :], core[:k] + r.choice(letters) + core[k:], core[:k] + core[k + 1] + core[k] + core[k + 2 :], core[:k] + r.choice(letters) + core[k + 1 :]])
+            cores.append(core)
+    blocks = [set(codes(c)) for c in cores]
+    near = [(a, b) for a in range(len(cores)) for b in range(a) if abs(a - b) < 3 and edits(cores[a], cores[b], 2) <= 2 and min(len(cores[a]), len(cores[b])) >= 5]
+    missed = [(cores[a], cores[b]) for a, b in near if not blocks[a] & blocks[b]]
+    assert len(near) > 250 and missed == []
+
+
+def test_banded_distances():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    def full(a, b):
+        d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.text("ab", max_size=8), st.text("ab", max_size=8), st.integers(0, 3))
+    def same(a, b, most):
+        assert edits(a, b, most) == min(full(a, b), most + 1)
+
+    same()
+    assert edits("x" * 50_000 + "ab", "x" * 50_000 + "ba", 2) == 1
+
+
+def test_large_entities_are_paired_in_parts(spark):
+    linked = spark.range(2500).selectExpr("concat('n', lpad(id, 5, '0')) AS name", "'e' AS entity")
+    assert entity_pairs(linked).count() == 2500 * 2499 // 2 == entity_pairs(linked).distinct().count()

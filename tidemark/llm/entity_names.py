@@ -3,7 +3,8 @@
 A name is folded, stripped of legal forms and decorations, and read as a trade (with the nickname
 table for abbreviations) and sorted name tokens. Names that read alike are one key. Keys of a trade
 meet in blocks: the phonetic code of the sorted tokens, and the tokens with up to two letters left
-out, which every two spellings within two edits have in common. A phonetic block holds only spellings
+out, which every two spellings within two edits have in common (long names: the pieces that two edits
+must leave whole). A phonetic block holds only spellings
 that differ in vowels and like sounds, a leave-out block only the spellings two letters away from it;
 repeated rows don't enlarge either. Pairs in a block are compared by Jaro–Winkler and edit distance:
 one or two slips of typing link. Letter pairs that well-attested names lack are further evidence of a
@@ -16,7 +17,8 @@ Defined results
   a name without trade that two organisations share                → an entity of its own spelling
   a misspelt or cut-off one that is as close to two organisations  → an entity of its own spelling
   a cut-off name that continues in two ways                        → an entity of its own spelling
-  very long names                                                  → read whole; only equal readings link
+  names in any script                                              → tokens of their letters; sounds are those of Latin letters
+  very long names                                                  → read whole, blocked by pieces, compared like the others
 """
 
 from __future__ import annotations
@@ -47,6 +49,15 @@ TRADES = [
 ]
 # Nicknames of trade words that no rule of abbreviation gives.
 NICKNAMES = {"sw": "software", "mg": "medical group", "fs": "financial services", "cp": "consulting partners", "fl": "freight lines", "labs": "laboratories", "bk": "bank", "u": "university", "uni": "university", "univ": "university", "int l": "international", "intl": "international", "tech": "technologies", "techs": "technologies", "bio": "biosciences", "bio sciences": "biosciences", "foodz": "foods", "robotix": "robotics", "energie": "energy", "analitics": "analytics", "mfg": "manufacturing", "mfrs": "manufacturing", "engrg": "engineering", "sys": "systems", "sec": "security", "ins": "insurance", "cons": "consulting", "ln": "lines", "grp": "group", "frt": "freight", "fin": "financial", "med": "medical", "svcs": "services", "ptnrs": "partners"}
+# Nicknames of persons, each list led by the full name.
+PERSONS = [
+    ["alexander", "alex", "sasha"], ["andrew", "andy", "drew"], ["anthony", "tony"], ["benjamin", "ben", "benny"], ["catherine", "katherine", "kate", "katie", "cathy", "kathy"], ["charles", "charlie", "chuck"], ["christopher", "chris"],
+    ["daniel", "dan", "danny"], ["david", "dave"], ["deborah", "debbie", "deb"], ["edward", "ed", "eddie", "ted"], ["elizabeth", "liz", "lizzie", "beth", "betty"], ["frederick", "fred", "freddy"], ["gregory", "greg"], ["james", "jim", "jimmy"],
+    ["jennifer", "jen", "jenny"], ["john", "jack", "johnny"], ["joseph", "joe", "joey"], ["joshua", "josh"], ["kenneth", "ken", "kenny"], ["lawrence", "larry"], ["margaret", "maggie", "peggy", "meg"], ["matthew", "matt"], ["michael", "mike", "mick"],
+    ["nicholas", "nick"], ["patricia", "pat", "patty"], ["peter", "pete"], ["rebecca", "becky"], ["richard", "dick", "rick", "rich"], ["robert", "bob", "bobby", "rob", "robbie"], ["ronald", "ron"], ["samuel", "sam", "sammy"], ["stephen", "steven", "steve"],
+    ["susan", "sue", "susie"], ["theodore", "theo"], ["thomas", "tom", "tommy"], ["timothy", "tim"], ["victoria", "vicky"], ["william", "bill", "billy", "will", "willy"], ["zachary", "zach"],
+]
+_PERSON = {short: names[0] for names in PERSONS for short in names[1:]}
 _TRADE_WORDS = sorted({w for t in TRADES for w in t.split()})
 
 
@@ -111,7 +122,7 @@ def read_name(name: str | None) -> tuple[str | None, str | None, str | None]:
         text = re.sub(r"([a-zà-ÿ])(and|of)(?=[A-Z])", r"\1 \2 ", text)
         text = re.sub(r"([a-zà-ÿ])(?=[A-Z])", r"\1 ", text)
     text = fold(text)
-    tokens = re.findall(r"[a-z0-9]+|[&+]", text)
+    tokens = re.findall(r"[^\W_]+|[&+]", text)
     if " ".join(t for t in tokens if t not in "&+") in HIDING:
         return None, None, None
     tokens = ["&" if t in ("and", "+") else "of" if t == "fo" else t for t in tokens]
@@ -135,6 +146,9 @@ def read_name(name: str | None) -> tuple[str | None, str | None, str | None]:
     words = [t for t in tokens if t not in ("&", "of")]
     if not words:
         return None, None, None
+    # a nickname stands for a person where another name stands beside it
+    if len(words) > 1:
+        words = [_PERSON.get(w, w) for w in words]
     return trade or "", " ".join(sorted(words)), words[0]
 
 
@@ -145,18 +159,26 @@ def _read(names: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_name(n) for n in names], columns=["trade", "core", "lead"])
 
 
-#: Longer spellings only link when they read alike.
-LONGEST = 60
+#: Cores with more letters are blocked by pieces of PIECE letters.
+LONG, PIECE = 40, 12
 
 
-def _blocks(cores: pd.Series) -> pd.Series:
-    def codes(core: str) -> list[str]:
-        if len(core) > LONGEST:
-            return []
+def codes(core: str) -> list[str]:
+    """The blocks of a core. Two cores within two edits have one in common, those of four letters within one."""
+    found = ["s:" + " ".join(sound(t) for t in core.split())]
+    # both kinds around LONG, where one of the two cores may be on either side
+    if len(core) > LONG - 2:
+        # two edits leave the first, the last or the middle piece whole, the middle one moved by a letter at most
+        middle = [core[PIECE + k : 2 * PIECE + k] for k in (0, 1, 2)]
+        found += [f"a:{core[:PIECE]}", f"z:{core[-PIECE:]}", *sorted({f"m:{m}" for m in middle})]
+    if len(core) <= LONG + 2:
         one = {core[:i] + core[i + 1 :] for i in range(len(core))} if len(core) >= 4 else set()
         two = {s[:i] + s[i + 1 :] for s in one for i in range(len(s))} if len(core) >= 5 else set()
-        return ["s:" + " ".join(sound(t) for t in core.split()), *sorted("d:" + s for s in one | two | {core})]
+        found += sorted("d:" + s for s in one | two | {core})
+    return found
 
+
+def _blocks(cores: pd.Series) -> pd.Series:
     return cores.map(codes)
 
 
@@ -168,7 +190,9 @@ def _closeness(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         far = [edits(s, t, 2) for s, t in zip(xs, ys)] if len(xs) == len(ys) else [9]
         if sum(far) > 2:
             return 9, 0.0, False
-        return sum(far), jaro_winkler(x, y), sum(slips(s, t, 2) for s, t in zip(xs, ys)) == sum(far)
+        # two edits in so many letters are alike by any measure; Jaro–Winkler takes quadratic time
+        score = jaro_winkler(x, y) if len(x) <= LONG else 1 - sum(far) / len(x)
+        return sum(far), score, sum(slips(s, t, 2) for s, t in zip(xs, ys)) == sum(far)
 
     return pd.DataFrame([close(x, y) for x, y in zip(a, b)], columns=["edits", "score", "slip"])
 
@@ -181,11 +205,16 @@ STEM = 4
 ODD = 0.001
 
 
+def _stems(core: str) -> Column:
+    """The beginnings of a core, of LONG letters at most; whether a longer name begins it is left to the comparison."""
+    return F.expr(f"transform(sequence({STEM}, least(length({core}) - 1, {LONG})), i -> left({core}, i))")
+
+
 def _odd_check(known: dict[str, int]):
     least = max(2.0, ODD * sum(known.values()))
 
     def odd(cores: pd.Series) -> pd.Series:
-        return pd.Series([any(known.get(c[i : i + 2], 0) < least for i in range(len(c) - 1)) for c in cores], dtype=bool)
+        return pd.Series([any(c[i : i + 2].isascii() and known.get(c[i : i + 2], 0) < least for i in range(len(c) - 1)) for c in cores], dtype=bool)
 
     return odd
 
@@ -217,8 +246,8 @@ def _join_bare(bare: DataFrame, alias: DataFrame, odd) -> DataFrame:
     owners = owners.groupBy("group").agg(F.min_by(F.struct("owner", "rivals"), "edits").alias("o")).select("group", F.when(F.col("o.rivals") == 1, F.col("o.owner")).otherwise(F.col("group")).alias("joined"))
     found = cut(groups.join(owners, "group", "left").select(F.col("node").alias("key"), "group", F.coalesce("joined", "group").alias("entity"), F.col("joined").isNotNull().alias("decided")))
     # cut-off names
-    grown = targets.where(f"instr(core_b, ' ') = 0 AND length(core_b) > {STEM} AND length(core_b) <= {LONGEST}").select("key_b", "forms_b", "owner", F.explode(F.expr(f"transform(sequence({STEM}, length(core_b) - 1), i -> left(core_b, i))")).alias("core"))
-    ends = bare.join(grown, "core").where("owner IS NOT NULL OR forms_b > forms").join(found.select(F.col("key").alias("key_b"), F.col("entity").alias("other")), "key_b", "left")
+    grown = targets.where(f"instr(core_b, ' ') = 0 AND length(core_b) > {STEM}").select("key_b", "core_b", "forms_b", "owner", F.explode(_stems("core_b")).alias("stem"))
+    ends = bare.withColumn("stem", F.left("core", F.lit(LONG))).join(grown, "stem").where("startswith(core_b, core) AND core_b <> core AND (owner IS NOT NULL OR forms_b > forms)").join(found.select(F.col("key").alias("key_b"), F.col("entity").alias("other")), "key_b", "left")
     ends = ends.select("key", F.coalesce("owner", "other").alias("meant")).join(found.where("NOT decided"), "key").where("meant <> entity")
     ends = ends.groupBy("group").agg(F.min("meant").alias("meant"), F.count_distinct("meant").alias("n")).where("n = 1")
     return found.join(ends, "group", "left").select("key", F.coalesce("meant", "entity").alias("entity"))
@@ -230,9 +259,9 @@ def link_names(names: DataFrame, name: str) -> DataFrame:
     read = distinct.withColumn("r", F.pandas_udf(_read, READ)("name")).where("r.core IS NOT NULL").select("name", "r.*").withColumn("key", F.concat_ws("|", "trade", "core"))
     read = cut(read)
     keys = cut(read.groupBy("key", "trade", "core").agg(F.count("*").alias("forms"), F.min("lead").alias("lead")))
-    # letter pairs of well-attested names: at most 37 x 37 rows, as folded names hold a-z, 0-9 and spaces
+    # Latin letter pairs of well-attested names: at most 37 x 37 rows
     letters = keys.where("forms >= 3").select(F.explode(F.expr("transform(sequence(1, greatest(length(core) - 1, 1)), i -> substring(core, i, 2))")).alias("two"))
-    known = {r.two: r["count"] for r in letters.groupBy("two").count().collect()}
+    known = {r.two: r["count"] for r in letters.where("two RLIKE '^[a-z0-9 ]{2}$'").groupBy("two").count().collect()}
     named = keys.where("trade <> ''").withColumn("odd", F.pandas_udf(_odd_check(known), "boolean")("core"))
     # slips: keys of one trade in a common block
     blocked = named.select("trade", "key", "core", "forms", "odd", F.explode(F.pandas_udf(_blocks, "array<string>")("core")).alias("block"))
@@ -243,12 +272,12 @@ def link_names(names: DataFrame, name: str) -> DataFrame:
     # an odd pair says nothing between names equally attested, unless both were seen in one form only
     scored = scored.withColumn("odd_a", F.expr("odd_a AND (forms_a < forms_b OR forms_b = 1)"))
     # cut-off names: the one key of the trade that begins like it
-    single = named.where(f"instr(core, ' ') = 0 AND length(core) <= {LONGEST}")
-    grown = single.withColumn("n", F.length("core")).where(f"n > {STEM}").withColumn("stem", F.explode(F.expr(f"transform(sequence({STEM}, n - 1), i -> left(core, i))")))
-    short = single.where(f"length(core) >= {STEM}").select("trade", F.col("key").alias("key_a"), F.col("forms").alias("forms_a"), F.explode(F.expr("array_distinct(array(core, regexp_replace(core, 'y$', '')))")).alias("stem"))
-    ends = short.join(grown.select("trade", "stem", F.col("key").alias("key_b"), F.col("forms").alias("forms_b"), "n"), ["trade", "stem"]).where("forms_b >= forms_a AND key_a <> key_b")
+    single = named.where("instr(core, ' ') = 0")
+    grown = single.where(f"length(core) > {STEM}").select("trade", F.col("key").alias("key_b"), F.col("core").alias("core_b"), F.col("forms").alias("forms_b"), F.explode(_stems("core")).alias("stem"))
+    short = single.where(f"length(core) >= {STEM}").select("trade", F.col("key").alias("key_a"), F.col("forms").alias("forms_a"), F.explode(F.expr("array_distinct(array(core, regexp_replace(core, 'y$', '')))")).alias("begins")).withColumn("stem", F.left("begins", F.lit(LONG)))
+    ends = short.join(grown, ["trade", "stem"]).where("startswith(core_b, begins) AND core_b <> begins AND forms_b >= forms_a AND key_a <> key_b")
     # a continuation is no slip, and beginnings of two names may look like slips of each other
-    begun = ends.where("n >= length(stem) + 2").select("key_a").distinct()
+    begun = ends.where("length(core_b) >= length(begins) + 2").select("key_a").distinct()
     longer = lambda x, y: f"(instr({x}, ' ') = 0 AND startswith({y}, {x}) AND length({y}) >= length({x}) + 2)"
     both = begun.withColumn("begun_a", F.lit(True)), begun.select(F.col("key_a").alias("key_b"), F.lit(True).alias("begun_b"))
     slipped = scored.where(_accepted()).where(f"NOT {longer('core_a', 'core_b')} AND NOT {longer('core_b', 'core_a')}")
@@ -285,7 +314,17 @@ def link_names(names: DataFrame, name: str) -> DataFrame:
     return read.select("name", "key").join(all_keys, "key").select("name", "entity")
 
 
+#: Names of an entity that one task pairs with all others of it.
+PAIRED = 1000
+
+
 def entity_pairs(linked: DataFrame) -> DataFrame:
-    """name_a, name_b: every unordered pair within an entity, name_a first in byte order."""
-    a, b = (linked.select("entity", F.col("name").alias(f"name_{side}")) for side in "ab")
-    return a.join(b, "entity").where(F.encode("name_a", "UTF-8") < F.encode("name_b", "UTF-8")).select("name_a", "name_b")
+    """name_a, name_b: every unordered pair within an entity, name_a first in byte order.
+
+    The names of a large entity are spread over as many parts as it has PAIRED of them.
+    """
+    parts = linked.groupBy("entity").agg(F.ceil(F.count("*") / PAIRED).cast("int").alias("parts"))
+    sized = linked.join(parts, "entity")
+    a = sized.select("entity", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"), F.col("name").alias("name_a"))
+    b = sized.select("entity", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("name").alias("name_b"))
+    return a.join(b, ["entity", "part"]).where(F.encode("name_a", "UTF-8") < F.encode("name_b", "UTF-8")).select("name_a", "name_b")

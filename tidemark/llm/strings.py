@@ -5,23 +5,35 @@ from __future__ import annotations
 import re
 
 
-def edits(a: str, b: str, most: int) -> int:
-    """Optimal string alignment distance (a swap of neighbours is one edit), or most + 1."""
+def _distance(a: str, b: str, most: int, cost_of) -> int:
+    """Optimal string alignment distance (a swap of neighbours is one edit), or most + 1.
+
+    Only cells within ``most`` of the diagonal are worked out, so long strings take linear time.
+    """
     if a == b:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, row = [], list(range(len(b) + 1))
+    n, far = len(b), most + 1
+    older: dict[int, int] = {}
+    before = {j: j for j in range(min(n, most) + 1)}
     for i, x in enumerate(a, 1):
-        older, before, row = before, row, [i]
-        for j, y in enumerate(b, 1):
-            cost = min(row[j - 1] + 1, before[j] + 1, before[j - 1] + (x != y))
+        row = {0: i} if i <= most else {}
+        for j in range(max(1, i - most), min(n, i + most) + 1):
+            y = b[j - 1]
+            cost = min(row.get(j - 1, far) + 1, before.get(j, far) + 1, before.get(j - 1, far) + (0 if x == y else cost_of(x, y)))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, older[j - 2] + 1)
-            row.append(cost)
-        if min(row) > most:
-            return most + 1
-    return min(row[-1], most + 1)
+                cost = min(cost, older.get(j - 2, far) + 1)
+            row[j] = min(cost, far)
+        if min(row.values(), default=far) > most:
+            return far
+        older, before = before, row
+    return before.get(n, far)
+
+
+def edits(a: str, b: str, most: int) -> int:
+    """Optimal string alignment distance, or most + 1."""
+    return _distance(a, b, most, lambda x, y: 1)
 
 
 def jaro_winkler(a: str, b: str, prefix_weight: float = 0.1) -> float:
@@ -50,8 +62,8 @@ _SOUNDS = str.maketrans({"c": "k", "q": "k", "g": "k", "p": "b", "v": "f", "w":
 
 
 def sound(token: str) -> str:
-    """Consonants by place of articulation, doubles once, vowels and h dropped."""
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"[^b-df-gj-np-tv-xz0-9]", "", token).translate(_SOUNDS))
+    """Consonants by place of articulation, doubles once, vowels and h dropped; letters of other scripts stay as they are."""
+    return re.sub(r"(.)\1+", r"\1", re.sub(r"[aeiouyh]", "", token).translate(_SOUNDS))
 
 
 # The rows of letters on a keyboard.
@@ -76,18 +88,4 @@ def is_slip(a: str, b: str) -> bool:
 
 def slips(a: str, b: str, most: int) -> int:
     """Least number of slips of typing between two strings, or most + 1; another letter that is not confusable counts as two."""
-    if a == b:
-        return 0
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, row = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        older, before, row = before, row, [i]
-        for j, y in enumerate(b, 1):
-            cost = min(row[j - 1] + 1, before[j] + 1, before[j - 1] + (0 if x == y else 1 if confusable(x, y) else 2))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, older[j - 2] + 1)
-            row.append(cost)
-        if min(row) > most:
-            return most + 1
-    return min(row[-1], most + 1)
+    return _distance(a, b, most, lambda x, y: 1 if confusable(x, y) else 2)
