@@ -4,7 +4,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.gazetteer import PLACE, Gazetteer, place_ids
+from tidemark.llm.gazetteer import PLACE, Gazetteer, map_places, place_ids
 from tidemark.llm.strings import edits
 
 ROWS = [
@@ -44,3 +44,20 @@ def test_column(spark):
     assert [r.p for r in df.select(place_ids(F.col("value"), places).alias("p")).collect()] == [w for _, w in CASES for _ in range(2)]
     assert df.limit(0).select(place_ids(F.col("value"), places)).count() == 0
     assert {r.p for r in df.limit(3).select(place_ids(F.col("value"), places.limit(0)).alias("p")).collect()} == {-1}
+    # a list too long for a trie gives the same by a join
+    for most in (10, 2):
+        got = map_places(df, "value", places, "place_id", most=most).collect()
+        assert sorted(((r.value, r.place_id) for r in got), key=str) == sorted([(v, w) for v, w in CASES for _ in range(2)], key=str)
+    with pytest.raises(ValueError, match="map_places"):
+        import tidemark.llm.gazetteer as module
+
+        module.MAX_REFERENCE, kept = 2, module.MAX_REFERENCE
+        try:
+            place_ids(F.col("value"), places)
+        finally:
+            module.MAX_REFERENCE = kept
+
+
+def test_beginnings_need_a_mark_or_a_region():
+    rows = [*ROWS, (6, "Parisville", "Parisville", None, "RR", "Rimapmarch", "QN", "Tarsland", 100)]
+    assert [Gazetteer(rows).find(v) for v in ("Paris", "Paris, RR", "Paris., RR", "Parisv, RR", "Parisvi.", "Brenuds, VE", "Brenuds", "Brenuds, RR")] == [-1, -1, 6, 6, 6, 2, -1, -1]

@@ -6,8 +6,9 @@ and its name walks the trie as a Levenshtein automaton whose state is one row of
 swap of neighbours is one edit): all entries within a distance that depends on the length come back,
 aliases included. Qualifiers (region, country, by name or code) then decide among them.
 
-The list is a reference table: it is read to the driver only below MAX_REFERENCE rows, and the trie
-is built once per Python worker. Values repeat, so each worker keeps what it found.
+The list is a reference table: below MAX_REFERENCE rows the trie is built once per Python worker, and as
+values repeat, each worker keeps what it found. A longer list meets the distinct values in a join on
+spellings with up to two letters left out, and each value's few candidates form a trie of their own.
 
 Defined results
   null value                                   → null
@@ -15,7 +16,8 @@ Defined results
   a qualifier that contradicts the entry       → that entry is no candidate
   several entries equally near                 → the one with the larger population, then the smaller id
   names or codes with digits, short names      → must match exactly
-  names cut short (five letters or more)       → the entries that begin so, if one place is left
+  names cut short (five letters or more)       → the one place that begins so, if a stop marks the cut, or its region
+                                                 or country stands beside it and less than half of it is missing
   very long values                             → read whole; they are too far from any entry
 """
 
@@ -26,7 +28,7 @@ import uuid
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.folding import fold
@@ -56,11 +58,12 @@ PLACE = ["place_id", "place_name", "ascii_name", "alternates", "admin_code", "ad
 
 
 class Gazetteer:
-    def __init__(self, rows: Iterable[tuple]):
+    def __init__(self, rows: Iterable[tuple], regions: Iterable[str] = (), codes: Iterable[str] = ()):
+        """rows: the columns of PLACE. regions, codes: those of the whole list, where rows are only a part of it."""
         self.places: dict[int, tuple[frozenset[str], int]] = {}
         self.exact: dict[str, set[int]] = {}
-        self.regions: set[str] = set()
-        self.codes: set[str] = set()
+        self.regions: set[str] = set(regions)
+        self.codes: set[str] = set(codes)
         self.root: dict = {}
         for place_id, name, ascii_name, alternates, admin_code, admin_name, country_code, country_name, population in rows:
             own = [fold(q) for q in (admin_code, admin_name, country_code, country_name) if q]
@@ -184,14 +187,6 @@ class Gazetteer:
         if name in self.regions:
             return -1
         unknown = [q for q in qualifiers if q not in self.regions and q not in NOWHERE]
-        stem = full.rstrip(".")
-        if len(stem) >= STEM and not unknown:
-            grown = [s for s in self.beginning(stem) if s != stem]
-            ids = {i for s in grown for i in self.exact[s] if self.fits(i, qualifiers)}
-            if len(ids) == 1:
-                return ids.pop()
-            if ids and full.endswith("."):
-                return max(ids, key=lambda i: (self.places[i][1], -i))
         most = next((d for n, d in REACH if len(full) >= n), 0)
         if most and not unknown and not any(c.isdigit() for c in full):
             near = self.within(full, most)
@@ -199,14 +194,22 @@ class Gazetteer:
                 found = self.best([s for e, s in near if e == d], qualifiers)
                 if found is not None:
                     return found
+        return -1 if unknown else self.cut_short(full, qualifiers)
+
+    def cut_short(self, typed: str, qualifiers: list[str]) -> int:
+        """The place whose name was cut off so, -1 if none or several fit."""
+        stem, marked = typed.rstrip("."), typed.endswith(".")
+        if len(stem) < STEM or not (marked or any(q in self.regions for q in qualifiers)):
+            return -1
+        grown = [s for s in self.beginning(stem) if s != stem and (marked or len(s) < 2 * len(stem))]
+        ids = {i for s in grown for i in self.exact[s] if self.fits(i, qualifiers)}
+        if len(ids) == 1 or (ids and marked):
+            return max(ids, key=lambda i: (self.places[i][1], -i))
         return -1
 
 
-def reference_rows(places: DataFrame) -> list[tuple]:
-    rows = places.where("place_id IS NOT NULL").select(*PLACE).dropDuplicates(["place_id"]).limit(MAX_REFERENCE + 1).collect()
-    if len(rows) > MAX_REFERENCE:
-        raise ValueError("this list is too long for a trie in every worker")
-    return sorted(tuple(r) for r in rows)
+def reference_rows(places: DataFrame) -> DataFrame:
+    return places.where("place_id IS NOT NULL").select(*PLACE).dropDuplicates(["place_id"])
 
 
 _BUILT: dict[str, tuple[Gazetteer, dict[str, int]]] = {}
@@ -214,9 +217,9 @@ _BUILT: dict[str, tuple[Gazetteer, dict[str, int]]] = {}
 REMEMBERED = 200_000
 
 
-def place_ids(value: Column, places: DataFrame) -> Column:
-    """bigint: the place_id that a typed value means, -1 if none, null for null."""
-    shared = places.sparkSession.sparkContext.broadcast(reference_rows(places))
+def _finder(spark: SparkSession, rows: list[tuple]):
+    """A vectorised function from typed values to place_ids."""
+    shared = spark.sparkContext.broadcast(rows)
     name = uuid.uuid4().hex
 
     @F.pandas_udf("bigint")
@@ -237,4 +240,69 @@ def place_ids(value: Column, places: DataFrame) -> Column:
             out.append(known[v])
         return pd.Series(out, dtype="Int64")
 
-    return find(value)
+    return find
+
+
+def map_places(values: DataFrame, value: str, places: DataFrame, out: str, most: int = MAX_REFERENCE) -> DataFrame:
+    """values with the bigint column out: the place_id that the typed value means, -1 if none, null for null."""
+    listed = reference_rows(places)
+    rows = listed.limit(most + 1).collect()
+    if len(rows) <= most:
+        return values.withColumn(out, _finder(values.sparkSession, sorted(tuple(r) for r in rows))(F.col(f"`{value}`")))
+    mapped = _by_join(values.select(F.col(f"`{value}`").alias("_v")).where("_v IS NOT NULL").distinct(), listed).withColumnRenamed("place_id", out)
+    return values.join(mapped, values[value] == mapped["_v"], "left").drop("_v")
+
+
+def _near_codes(name: str) -> list[str]:
+    """What a name and an entry within reach, or of which it is the beginning, have in common."""
+    most = next((d for n, d in REACH if len(name) >= n - 2), 0)
+    found = {name}
+    for _ in range(most):
+        found |= {s[:i] + s[i + 1 :] for s in found for i in range(len(s))}
+    return sorted(f"d:{s}" for s in found)
+
+
+def _by_join(values: DataFrame, listed: DataFrame) -> DataFrame:
+    """_v, place_id of distinct values, against a list of any length. Regions and countries are few beside places; they are broadcast."""
+    named = listed.select(F.explode(F.array("admin_code", "country_code")).alias("q"), F.lit(True).alias("code")).unionByName(listed.select(F.explode(F.array("admin_name", "country_name")).alias("q"), F.lit(False).alias("code")))
+    distinct = named.where("q IS NOT NULL").distinct().collect()
+    regions, codes = {fold(r.q) for r in distinct}, {fold(r.q) for r in distinct if r.code}
+    # a typed name longer than any entry and its edits is within reach of none
+    longest = (listed.agg(F.max(F.greatest(*[F.length(c) for c in ("place_name", "ascii_name", "alternates")]))).first()[0] or 0) + len(max(SHORT_WORDS.values(), key=len)) + 2
+
+    @F.pandas_udf("array<string>")
+    def of_values(typed: pd.Series) -> pd.Series:
+        reader = Gazetteer([], regions, codes)
+
+        def keys(v: str) -> list[str]:
+            name = reader.parse(v)[0]
+            # also without the last word, which parse() takes for a code where the list has no such name
+            names = {n for part in (name, name.rsplit(" ", 1)[0]) for n in (part, reader.spelled_out(part)) if len(n) <= longest}
+            return sorted({k for n in names for k in _near_codes(n)} | {f"b:{n.rstrip('.')}" for n in names})
+
+        return typed.map(keys)
+
+    @F.pandas_udf("array<string>")
+    def of_places(names: pd.Series) -> pd.Series:
+        def keys(own: list[str]) -> list[str]:
+            spelled = {Gazetteer.spelled_out(fold(n)) for n in own if n and n.strip()}
+            return sorted({k for n in spelled for k in _near_codes(n)} | {f"b:{n[:i]}" for n in spelled for i in range(STEM, len(n))})
+
+        return names.map(keys)
+
+    @F.pandas_udf("bigint")
+    def decide(typed: pd.Series, candidates: pd.Series) -> pd.Series:
+        return pd.Series([Gazetteer([tuple(c[k] for k in PLACE) for c in rows] if rows is not None else [], regions, codes).find(v) for v, rows in zip(typed, candidates)], dtype="Int64")
+
+    spellings = F.concat(F.array("place_name", "ascii_name"), F.coalesce(F.split("alternates", ","), F.array()))
+    entries = listed.select(F.struct(*PLACE).alias("p"), F.explode(of_places(spellings)).alias("key"))
+    near = values.select("_v", F.explode(of_values("_v")).alias("key")).join(entries, "key").groupBy("_v").agg(F.collect_set("p").alias("found"))
+    return values.join(near, "_v", "left").select("_v", decide("_v", "found").alias("place_id"))
+
+
+def place_ids(value: Column, places: DataFrame) -> Column:
+    """As map_places(), as a column; the list must be a reference table of MAX_REFERENCE rows at most."""
+    rows = reference_rows(places).limit(MAX_REFERENCE + 1).collect()
+    if len(rows) > MAX_REFERENCE:
+        raise ValueError("this list is too long for a column; use map_places")
+    return _finder(places.sparkSession, sorted(tuple(r) for r in rows))(value)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.entity_names import entity_pairs, link_names
-from tidemark.llm.gazetteer import place_ids
+from tidemark.llm.gazetteer import map_places
 from tidemark.llm.leakage import cleaned, leaks, test_items
 from tidemark.llm.packing import TOKENIZER, pack, token_counts
 from tidemark.llm.truncation import cut_texts, truncation_by_source
@@ -29,7 +29,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         packed.unionByName(lever.select(F.lit("lever_postings").alias("src"), "rec_id", F.lit(0).alias("pos"), F.col("r.value").alias("value")))
         .unionByName(feed.select(F.lit("list_feed").alias("src"), "rec_id", F.posexplode("r.locations").alias("pos", "value")))
     )
-    return values.where("value IS NOT NULL").select("src", "rec_id", "pos", place_ids(F.col("value"), table(spark, sf_dir, "places")).alias("place_id"))
+    return map_places(values.where("value IS NOT NULL"), "value", table(spark, sf_dir, "places"), "place_id").select("src", "rec_id", "pos", "place_id")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
