@@ -17,7 +17,7 @@ Defined results
   several entries equally near                 → the one with the larger population, then the smaller id
   names or codes with digits, short names      → must match exactly
   names cut short (five letters or more)       → the one place that begins so, if a stop marks the cut, or its region
-                                                 or country stands beside it and less than half of it is missing
+                                                 or country stands beside it and no more than half of it is missing
   very long values                             → read whole; they are too far from any entry
 """
 
@@ -201,7 +201,7 @@ class Gazetteer:
         stem, marked = typed.rstrip("."), typed.endswith(".")
         if len(stem) < STEM or not (marked or any(q in self.regions for q in qualifiers)):
             return -1
-        grown = [s for s in self.beginning(stem) if s != stem and (marked or len(s) < 2 * len(stem))]
+        grown = [s for s in self.beginning(stem) if s != stem and (marked or len(s) <= 2 * len(stem))]
         ids = {i for s in grown for i in self.exact[s] if self.fits(i, qualifiers)}
         if len(ids) == 1 or (ids and marked):
             return max(ids, key=lambda i: (self.places[i][1], -i))
