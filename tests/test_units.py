@@ -37,6 +37,8 @@ def test_conversion_join(spark):
     ("You will be paid in EUR; the stated range is /mo.", ("EUR", "month", "one", None, None, None, None)), ("Pay is quoted biweekly (every two weeks).", (None, "two_weeks", "one", None, None, None, None)),
     ("(pay values in hundredths of a yen) We closed a $30 million round last spring.", (None, None, "hundredth", None, None, None, None)), ("Range shown in thousands.", (None, None, "thousand", None, None, None, None)),
     ("We sponsor a $75 monthly commuter pass. There is a one-time relocation stipend of £3,000.", (None, None, "one", None, None, None, None)), ("&lt;p&gt;All figures are in &lt;b&gt;USD&lt;/b&gt;.&lt;/p&gt;", (None, None, "one", None, None, None, None)),
+    ("Annual earnings are $120,000 per year", (None, None, "one", 120000.0, 120000.0, "USD", "year")), ("Base: $95,000 per annum", (None, None, "one", 95000.0, 95000.0, "USD", "year")), ("Earn $25 per hour", (None, None, "one", 25.0, 25.0, "USD", "hour")),
+    ("Salary: $100,000 per year plus bonus", (None, None, "one", 100000.0, 100000.0, "USD", "year")), ("$25 - $30 per hour", (None, None, "one", 25.0, 30.0, "USD", "hour")), ("A training budget of $2,000 per year.", (None, None, "one", None, None, None, None)), ("Plans start at $20 per month for teams", (None, None, "one", None, None, None, None)),
     ("&lt;p&gt;All figures are in USD.&lt;/p&gt;", ("USD", None, "one", None, None, None, None)), ("", (None, None, "one", None, None, None, None)), (None, (None, None, "one", None, None, None, None)),
 ])
 def test_statements(text, want):

@@ -16,7 +16,7 @@ from __future__ import annotations
 import html
 import re
 from collections import deque
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.evidence import words_around
 from tidemark.session import free_name
 
 
@@ -182,6 +183,8 @@ class PayReader:
         self.sentence = re.compile(r"[\n<>]+|(?<!p\.a\.)(?<=[.!?])\s+|(?<=\))\s+(?=[A-Z])")
         self.head = re.compile(r"\b(?:range|figures?|rates?|amounts?|numbers|quoted|we pay|paid in|compensation|salary|base pay|pay values?|pay:|we offer)\b|\bpay:", re.I)
         self.noise = re.compile(r"\b(?:budget|stipend|pass|round|million|billion|bonus|equity|allowance|fund(?:ing|s)?|reimburse\w*|raised|revenue|turnover)\b", re.I)
+        # words before an amount that make it pay, whatever else the sentence says
+        self.paid = re.compile(r"\b(?:salar(?:y|ies)|wages?|earn(?:s|ings?)?|compensation|remuneration|base(?: pay)?|we pay|pays|rate|pay range|pay:)(?!\w)", re.I)
         self.thousands = re.compile(r"\bin (?:thousands|k)\b|'000", re.I)
         self.larger = re.compile(r"\bin (?:lakhs?|lacs?|crores?)\b", re.I)
         self.hundredths = re.compile(rf"\bin (?:{_any(HUNDREDTHS)})(?!\w)", re.I)
@@ -191,13 +194,39 @@ class PayReader:
             return None
         return text.upper() if text.upper() in self.known else CURRENCY_NAMES.get(text.lower())
 
+    def _is_pay(self, sentence: str, m: re.Match) -> bool:
+        """Whether the words around an amount say that it is pay: one of pay before it, or nothing but the amount."""
+        before, after = words_around(sentence, m.start(), m.end())
+        if self.paid.search(before + ":" if before.endswith("pay") else before):
+            return not self.noise.search(before)
+        return not (before + after).strip(" .,;:-–—()")
+
+    def _statements(self, sentence: str, plain: bool) -> Iterator[tuple[float | None, float | None, str, str | None]]:
+        """(low, high, currency, period) of every amount with its currency and period; unless plain, only where its own words say pay."""
+        for m in self.statement.finditer(sentence):
+            code = self.code(m["c1"] or m["c2"] or m["c3"] or m["c4"])
+            if not code or not m["p"] or not (plain or self._is_pay(sentence, m)):
+                continue
+            low, high = number_of(m["n1"]), number_of(m["n2"]) if m["n2"] else None
+            # "120–150 lakh": one multiplier stands for both bounds
+            k1 = m["k1"] or (m["k2"] if m["n2"] and low is not None and low < 1000 else None)
+            times = lambda v, k: v * MULTIPLIERS[k.lower()] if v is not None and k else v
+            low, high = times(low, k1), times(high, m["k2"])
+            if not m["n2"]:
+                word = (m["only"] or "").strip().lower()
+                low, high = (None, low) if word == "up to" else (low, None) if word else (low, low)
+            yield low, high, code, period_of(m["p"].strip())
+
     def read(self, text: str | None) -> tuple:
         """(currency, period, scale, low, high, currency and period of the statement); all but scale may be None."""
         currency = period = stated = None
         scale = "one"
         plain = re.sub(r"<[^<>]*>", "\n", html.unescape(html.unescape(text)) if "&" in text else text) if text else ""
         for sentence in self.sentence.split(plain):
+            has_digit = any(c.isdigit() for c in sentence)
             if not self.head.search(sentence) or self.noise.search(sentence):
+                if has_digit and stated is None:
+                    stated = next(self._statements(sentence, plain=False), None)
                 continue
             if self.thousands.search(sentence):
                 scale = "thousand"
@@ -208,19 +237,9 @@ class PayReader:
             if self.hundredths.search(sentence):
                 scale = "hundredth"
                 continue
-            if any(c.isdigit() for c in sentence):
-                for m in self.statement.finditer(sentence):
-                    code = self.code(m["c1"] or m["c2"] or m["c3"] or m["c4"])
-                    if stated is None and code and m["p"]:
-                        low, high = number_of(m["n1"]), number_of(m["n2"]) if m["n2"] else None
-                        # "120–150 lakh": one multiplier stands for both bounds
-                        k1 = m["k1"] or (m["k2"] if m["n2"] and low is not None and low < 1000 else None)
-                        times = lambda v, k: v * MULTIPLIERS[k.lower()] if v is not None and k else v
-                        low, high = times(low, k1), times(high, m["k2"])
-                        if not m["n2"]:
-                            word = (m["only"] or "").strip().lower()
-                            low, high = (None, low) if word == "up to" else (low, None) if word else (low, low)
-                        stated = (low, high, code, period_of(m["p"].strip()))
+            if has_digit:
+                if stated is None:
+                    stated = next(self._statements(sentence, plain=True), None)
                 continue
             if currency is None and (m := self.cur.search(sentence)):
                 currency = self.code(m[0])
