@@ -73,13 +73,17 @@ def usd_rates(spark: SparkSession, sf_dir: str) -> dict[str, Fraction]:
     return {r.currency: Fraction(str(r.usd_per_unit)) for r in rows}
 
 
-def stated_pay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, rec_id, low, high, currency, period as stored, and the text; one row per record, the latest."""
+def stated_pay(spark: SparkSession, sf_dir: str, rates: dict[str, Fraction]) -> DataFrame:
+    """src, rec_id, low, high, currency, period as stored, and what the text says; one row per record, the latest.
+
+    Texts are read where they are scanned, so that only the facts travel.
+    """
 
     def latest(name: str, rec: str, fields: dict[str, Column], text: Column) -> DataFrame:
-        rows = table(spark, sf_dir, name).where(f"{rec} IS NOT NULL").groupBy(F.col(rec).cast("string").alias("rec_id"))
-        rows = rows.agg(F.max(F.struct("fetched_at", F.struct(*[v.alias(k) for k, v in fields.items()]).alias("pay"), text.alias("text"))).alias("r"))
-        return rows.select(F.lit(name).alias("src"), "rec_id", *[F.col(f"r.pay.{k}").alias(k) for k in fields], "r.text")
+        rows = table(spark, sf_dir, name).where(f"{rec} IS NOT NULL")
+        rows = rows.select(F.col(rec).cast("string").alias("rec_id"), "fetched_at", F.struct(*[v.alias(k) for k, v in fields.items()]).alias("pay"), pay_facts(text, rates).alias("said"))
+        rows = rows.groupBy("rec_id").agg(F.max(F.struct("fetched_at", "pay", "said")).alias("r"))
+        return rows.select(F.lit(name).alias("src"), "rec_id", *[F.col(f"r.pay.{k}").alias(k) for k in fields], "r.said")
 
     def struct_fields(at: str, period: str, currency: str = "currency") -> dict[str, Column]:
         return {"low": F.col(f"{at}.min_value"), "high": F.col(f"{at}.max_value"), "currency": F.col(f"{at}.{currency}"), "period": F.col(f"{at}.{period}")}
@@ -98,8 +102,7 @@ def stated_pay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = usd_rates(spark, sf_dir)
     conversions = conversion_table(spark, shortest_compositions(money_period_edges(rates), "USD|one|year"))
-    rows = stated_pay(spark, sf_dir)
-    read = rows.withColumn("said", pay_facts(F.col("text"), rates)).drop("text").withColumn("own", unit_parts(F.col("currency"), F.col("period"), rates))
+    read = stated_pay(spark, sf_dir, rates).withColumn("own", unit_parts(F.col("currency"), F.col("period"), rates))
     has = F.col("low").isNotNull() | F.col("high").isNotNull()
     scale = F.when(F.col("own.scale") != "one", F.col("own.scale")).otherwise(F.col("said.scale"))
     unit = lambda *parts: F.when(F.forall(F.array(*parts), lambda x: x.isNotNull()), F.concat_ws("|", *parts))
