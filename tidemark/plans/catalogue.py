@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import problems, reference
+from tidemark.plans import postings, problems, reference
 
-QUERIES = {name: getattr(problems, name) for name in dir(problems) if name[0] == "p" and name[1:2].isdigit()} | reference.QUERIES
-ORACLES: dict[str, str] = dict(reference.SQL)
+QUERIES = {name: getattr(problems, name) for name in dir(problems) if name[0] == "p" and name[1:2].isdigit()} | reference.QUERIES | postings.QUERIES
+ORACLES: dict[str, str] = reference.SQL | postings.SQL
