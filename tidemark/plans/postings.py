@@ -16,7 +16,7 @@ DAY = 86400
 
 def _rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "posting_snapshots").where("snapshot_no IS NOT NULL AND board_token IS NOT NULL AND job_id IS NOT NULL")
-    return rows.crossJoin(F.broadcast(rows.agg(F.max("snapshot_no").alias("last"))))  # one row beside all
+    return rows.withColumn("last", F.lit(rows.agg(F.max("snapshot_no")).first()[0]).cast("int"))
 
 
 def _latest(rows: DataFrame, *columns: str) -> DataFrame:
@@ -132,11 +132,10 @@ def probes_cached(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def listings_attached(spark: SparkSession, sf: str) -> DataFrame:
-    """What becomes of the feed's listings that point at a posting of a board."""
-    rows = table(spark, sf, "list_feed").select("url").distinct().select(urls.resolve(F.col("url")).alias("r")).where("r.kind = 'posting'").select("r.ats", "r.board_token", "r.job_id").distinct()
-    held = [table(spark, sf, t).select(F.lit(a).alias("ats"), F.lower("board_token").alias("board_token") if a != "lever" else F.col("board_token"), F.lower(F.col(c).cast("string")).alias("job_id")) for t, a, c in (("greenhouse_jobs", "greenhouse", "job_id"), ("lever_postings", "lever", "posting_id"), ("ashby_jobs", "ashby", "job_uuid"))]
-    known = held[0].unionByName(held[1]).unionByName(held[2])
-    return state.attach(rows, known, known, ["ats", "board_token", "job_id"], ["ats", "board_token"]).groupBy("ats", "fate").agg(F.count("*").alias("n"))
+    """What becomes of the feed's listings beside the addresses that comments have named, each host being a board."""
+    page = lambda df: df.select(urls.clean_url(F.col("url")).alias("url")).where("url IS NOT NULL").distinct().withColumn("host", urls.host_of(F.col("url")))
+    known = page(table(spark, sf, "leads").select(F.explode("urls").alias("url")))
+    return state.attach(page(table(spark, sf, "list_feed")), known, known, ["url"], ["host"]).groupBy("fate").agg(F.count("*").alias("n"))
 
 
 def run_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,12 +167,8 @@ _CLEAN = (
     " || coalesce(nullif('?' || array_to_string(list_filter(string_split(CASE WHEN contains(split_part({0}, '#', 1), '?') THEN split_part(split_part({0}, '#', 1), '?', 2) ELSE '' END, '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_') AND split_part(p, '=', 1) NOT IN (" + ", ".join(f"'{t}'" for t in urls.TRACKING) + ")), '&'), '?'), '') END"
 )
 _MAPPED = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FEED_SPONSORSHIP.items()) + " END"
-_HELD = "SELECT 'greenhouse' AS ats, lower(board_token) AS board_token, CAST(job_id AS VARCHAR) AS job_id FROM greenhouse_jobs UNION SELECT 'lever', board_token, lower(posting_id) FROM lever_postings UNION SELECT 'ashby', lower(board_token), lower(job_uuid) FROM ashby_jobs"
-_HOST = "lower(regexp_extract(url, '^https?://([^/?#]*)', 1))"
-_SEG = "regexp_extract(url, '^https?://[^/?#]*/([^/?#]+)/([^?#]*)', {})"
-_DIRECT = (
-    f"SELECT DISTINCT CASE WHEN h IN ({', '.join(repr(h) for h, a in urls.BOARD_HOSTS.items() if a == 'greenhouse')}) THEN 'greenhouse' WHEN h = 'jobs.lever.co' THEN 'lever' WHEN h = 'jobs.eu.lever.co' THEN 'lever_eu' WHEN h = 'jobs.ashbyhq.com' THEN 'ashby' END AS ats, h, b, rest, url FROM (SELECT DISTINCT url, {_HOST} AS h, {_SEG.format(1)} AS b, rtrim({_SEG.format(2)}, '/') AS rest FROM list_feed)"
-)
+_PAGES = f"l AS (SELECT DISTINCT {_CLEAN.format('url')} AS url FROM (SELECT unnest(urls) AS url FROM leads)), f AS (SELECT DISTINCT {_CLEAN.format('url')} AS url FROM list_feed)"
+_HOST = "regexp_extract({}, '^https?://(?:[^/?#]*@)?([^/?#:]*)', 1)"
 
 SQL = {
     "posting_upsert": f"{_UPSERTED} SELECT * FROM u",
@@ -189,7 +184,7 @@ SQL = {
     "boards_retired": f"WITH {_ROWS}, o AS {_sql_value('closed_at', _OLD, _X)} SELECT board_token, job_id, CASE WHEN closed_at IS NULL AND board_token NOT IN (SELECT board_token FROM r WHERE {_NEW}) THEN {NOW} ELSE closed_at END AS closed_at FROM o",
     "urls_queued": f"WITH l AS (SELECT DISTINCT {_CLEAN.format('url')} AS url FROM (SELECT unnest(urls) AS url FROM leads)), f AS (SELECT DISTINCT {_CLEAN.format('url')} AS url FROM list_feed) SELECT url, 'leads' AS found_in FROM l WHERE url IS NOT NULL UNION ALL SELECT url, 'list_feed' FROM f WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM l WHERE url IS NOT NULL)",
     "probes_cached": f"SELECT * FROM (SELECT company_name, max(CAST(floor(epoch(fetched_at)) AS BIGINT)) AS probed_at, max(coalesce(active, false)) AS hit FROM list_feed WHERE company_name IS NOT NULL GROUP BY 1) WHERE hit OR probed_at >= {NOW - 60 * DAY}",
-    "listings_attached": f"WITH u AS ({_DIRECT}), k AS ({_HELD}), x AS (SELECT DISTINCT ats, CASE WHEN ats IN ('greenhouse', 'ashby') THEN lower(b) ELSE b END AS board_token, lower(CASE WHEN ats = 'greenhouse' THEN regexp_extract(rest, '^jobs/([0-9]{{1,20}})(/.*)?$', 1) ELSE regexp_extract(rest, '^([0-9A-Fa-f]{{8}}(-[0-9A-Fa-f]{{4}}){{3}}-[0-9A-Fa-f]{{12}})(/.*)?$', 1) END) AS job_id FROM u WHERE ats IS NOT NULL AND b <> 'embed') SELECT ats, fate, count(*) AS n FROM (SELECT x.ats, CASE WHEN k.job_id IS NOT NULL THEN 'attach' WHEN (x.ats, x.board_token) NOT IN (SELECT (ats, board_token) FROM k) THEN 'stand_in' ELSE 'drop' END AS fate FROM x LEFT JOIN k USING (ats, board_token, job_id) WHERE x.job_id <> '') GROUP BY 1, 2",
+    "listings_attached": f"WITH {_PAGES} SELECT fate, count(*) AS n FROM (SELECT CASE WHEN url IN (SELECT url FROM l WHERE url IS NOT NULL) THEN 'attach' WHEN {_HOST.format('url')} IN (SELECT {_HOST.format('url')} FROM l WHERE url IS NOT NULL) THEN 'drop' ELSE 'stand_in' END AS fate FROM f WHERE url IS NOT NULL) GROUP BY 1",
 }
 
 QUERIES = {f.__name__: f for f in (posting_upsert, sources_known, board_reconcile, seen_again, feed_facts, open_postings, evaluations_saved, posting_listing, boards_upserted, boards_retired, urls_queued, probes_cached, listings_attached, run_counts)}

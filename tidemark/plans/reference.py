@@ -94,7 +94,9 @@ def ordered_group_concat(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sole_source_anti(spark: SparkSession, sf: str) -> DataFrame:
-    return state.only_from(table(spark, sf, "events").where("user_id IS NOT NULL"), ["user_id"], "event_type", "purchase")
+    """Company names that comments state and neither the feed nor the board list has."""
+    named = [table(spark, sf, t).select(F.lower(F.trim(F.col(c))).alias("name"), F.lit(t).alias("source")) for t, c in (("leads", "company"), ("list_feed", "company_name"), ("companies", "entry_name"))]
+    return state.only_from(named[0].unionByName(named[1]).unionByName(named[2]).where("name IS NOT NULL"), ["name"], "source", "leads")
 
 
 def distinct_sorted(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,8 +104,12 @@ def distinct_sorted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
-    seen = table(spark, sf, "list_feed").select("item_uuid", seconds("fetched_at").alias("first_seen"), seconds("fetched_at").alias("seen_at"), "url")
-    return state.add_sources(seen.limit(0), seen, ["item_uuid"])
+    """What is kept of each item, and what the newest 30 days add to it."""
+    rows = table(spark, sf, "list_feed").select("item_uuid", seconds("fetched_at").alias("first_seen"), seconds("fetched_at").alias("seen_at"), "url")
+    new_from = (rows.agg(F.max("seen_at")).first()[0] or 0) - 30 * 86400
+    old = F.coalesce(F.col("seen_at") < new_from, F.lit(False))
+    known = state.add_sources(rows.where("false"), rows.where(old), ["item_uuid"])
+    return state.add_sources(known.select(rows.columns), rows.where(~old), ["item_uuid"])
 
 
 def change_status(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,10 +141,23 @@ def repost_exact(spark: SparkSession, sf: str) -> DataFrame:
     return docs.alias("d").join(first.alias("f"), F.expr("d.h = f.h AND d.source <=> f.source")).where("doc_id <> root").select("doc_id", "root")
 
 
+def _repost_keys(jobs: DataFrame, *columns: Column) -> DataFrame:
+    keys = [text.normalize(c).alias(n) for n, c in (("c", F.col("company_name")), ("t", F.col("title")), ("l", F.coalesce("location_name", F.lit(""))))]
+    return jobs.select(*columns, *keys, text.simhash(text.normalize(to_text(F.col("content_html"), escaped=True))).alias("f")).where("c IS NOT NULL AND t IS NOT NULL")
+
+
 def repost_simhash(spark: SparkSession, sf: str) -> DataFrame:
     jobs = table(spark, sf, "greenhouse_jobs").where("job_id IS NOT NULL AND fetched_at IS NOT NULL").groupBy("job_id").agg(F.max(F.struct("fetched_at", "company_name", "title", "location_name", "content_html")).alias("r"), F.min("fetched_at").alias("first_seen"))
-    keyed = jobs.select("job_id", "first_seen", text.normalize(F.col("r.company_name")).alias("c"), text.normalize(F.col("r.title")).alias("t"), text.normalize(F.coalesce("r.location_name", F.lit(""))).alias("l"), text.simhash(text.normalize(to_text(F.col("r.content_html"), escaped=True))).alias("f"))
-    return state.link_reposts(keyed.where("c IS NOT NULL AND t IS NOT NULL"), ["c", "t", "l"], "job_id", "first_seen", "f")
+    keyed = _repost_keys(jobs.select("job_id", "first_seen", "r.*"), F.col("job_id"), F.col("first_seen"))
+    return state.link_reposts(keyed, ["c", "t", "l"], "job_id", "first_seen", "f")
+
+
+def repost_fetches(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fetch of a text that had been there before, under the same company, title and place; the earliest is the root."""
+    jobs = table(spark, sf, "greenhouse_jobs").where("job_id IS NOT NULL AND fetched_at IS NOT NULL")
+    at = seconds("fetched_at")
+    fetched = _repost_keys(jobs, F.concat_ws("@", "job_id", at).alias("row_id"), at.alias("first_seen"))
+    return state.link_reposts(fetched.distinct(), ["c", "t", "l"], "row_id", "first_seen", "f")
 
 
 def coverage_rollup(spark: SparkSession, sf: str) -> DataFrame:
@@ -241,7 +260,7 @@ SQL = {
     "best_verdict": "SELECT l_orderkey, CASE max(CASE WHEN l_tax > 0.06 THEN 2 WHEN l_discount >= 0.09 THEN 3 ELSE 1 END) WHEN 3 THEN 'pass' WHEN 2 THEN 'unknown' ELSE 'fail' END AS verdict FROM lineitem GROUP BY 1",
     "listing_topk": "SELECT job_id, title, entry_name, first_seen FROM (SELECT board_token, job_id, max(first_seen) AS first_seen, max(title) AS title FROM posting_snapshots WHERE closed_at IS NULL GROUP BY 1, 2) LEFT JOIN (SELECT board_token, entry_name FROM companies WHERE ats = 'greenhouse') USING (board_token) ORDER BY first_seen DESC NULLS LAST, job_id DESC LIMIT 50",
     "ordered_group_concat": "SELECT user_id, string_agg(event_type, '|' ORDER BY event_type) AS kinds FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1",
-    "sole_source_anti": "SELECT DISTINCT user_id FROM events e WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type <> 'purchase')",
+    "sole_source_anti": "SELECT DISTINCT lower(trim(company)) AS name FROM leads WHERE company IS NOT NULL AND lower(trim(company)) NOT IN (SELECT lower(trim(company_name)) FROM list_feed WHERE company_name IS NOT NULL UNION SELECT lower(trim(entry_name)) FROM companies WHERE entry_name IS NOT NULL)",
     "distinct_sorted": "SELECT DISTINCT source FROM documents ORDER BY source",
     "upsert_latest": "SELECT item_uuid, min(s) AS first_seen, max(s) AS seen_at, max_by(url, (s, url)) AS url FROM (SELECT item_uuid, url, CAST(floor(epoch(fetched_at)) AS BIGINT) AS s FROM list_feed) GROUP BY 1",
     "change_status": "SELECT user_id, status, count(*) AS n FROM (SELECT user_id, CASE WHEN row_number() OVER w = 1 THEN 'new' WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type THEN 'unchanged' ELSE 'updated' END AS status FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) GROUP BY 1, 2",
@@ -261,7 +280,38 @@ SQL = {
     "p3_found": "WITH d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_no, board_token, job_id ORDER BY CAST(updated_at AS TIMESTAMPTZ) DESC NULLS LAST) AS k FROM posting_snapshots) WHERE k = 1), b AS (SELECT board_token, snapshot_no, lag(snapshot_no) OVER (PARTITION BY board_token ORDER BY snapshot_no) AS prev FROM (SELECT DISTINCT board_token, snapshot_no FROM posting_snapshots)), c AS (SELECT b.prev, d.* FROM b JOIN d USING (board_token, snapshot_no) WHERE b.prev IS NOT NULL), p AS (SELECT b.snapshot_no AS at, d.* FROM b JOIN d ON d.board_token = b.board_token AND d.snapshot_no = b.prev) SELECT coalesce(c.snapshot_no, p.at) AS snapshot_no, coalesce(c.board_token, p.board_token) AS board_token, coalesce(c.job_id, p.job_id) AS job_id, CASE WHEN p.job_id IS NULL THEN 'added' WHEN c.job_id IS NULL THEN 'removed' ELSE 'changed' END AS change_kind FROM c FULL JOIN p ON c.board_token = p.board_token AND c.snapshot_no = p.at AND c.job_id = p.job_id WHERE c.job_id IS NULL OR p.job_id IS NULL OR (c.company_name, c.title, c.url, c.location_raw, c.closed_at, c.duplicate_of) IS DISTINCT FROM (p.company_name, p.title, p.url, p.location_raw, p.closed_at, p.duplicate_of)",
 }
 
+_WEB = "regexp_matches(url, '^(?i)https?://[^/?#]+')"
+_H = "lower(regexp_replace(regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''))"
+_PATH = "list_filter(string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')"
+_QUERY_OF = "regexp_extract(url, '[?&]{}=([^&#]*)', 1)"
+_TOKEN, _DIGITS, _UUID = (p.strip("^$").replace("?:", "") for p in (urls.TOKEN, urls.DIGITS, urls.UUID))
+# entities of markup, the ampersand last
+_DECODED = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
+_BLOCK_TAGS = "p|br|div|li|ul|ol|h[1-6]|tr|table|section|article|blockquote|pre"
+_STRIPPED = f"regexp_replace(regexp_replace({_DECODED.format('content_html')}, '</?({_BLOCK_TAGS})\\b[^>]*>', chr(10), 'gi'), '</?[A-Za-z][^>]*>', '', 'g')"
+_NUMBER = r"\d{1,2}\s*(?:\+|plus\b)?\s*(?:(?:-|–|to\b)\s*\d{1,2}\s*)?\+?\s*"
+_SOFT = r"(over|more\s+than|nearly|almost)"
+SQL |= {
+    "url_resolve": f"WITH u AS (SELECT absolute_url AS url FROM greenhouse_jobs UNION SELECT hosted_url FROM lever_postings UNION SELECT job_url FROM ashby_jobs UNION SELECT url FROM list_feed), p AS (SELECT url, {_WEB} AS web, CASE {_HOST_ATS.replace('h =', _H + ' =')} END AS a, {_PATH} AS s, {_QUERY_OF.format('gh_jid')} AS jid, {_QUERY_OF.format('for')} AS f, {_QUERY_OF.format('token')} AS tok FROM u), "
+    f"r AS (SELECT *, coalesce(a = 'greenhouse' AND s[1] = 'embed', false) AS e FROM p), q AS (SELECT *, CASE WHEN e THEN f ELSE s[1] END AS b, CASE WHEN e THEN tok WHEN a = 'greenhouse' THEN CASE WHEN s[2] = 'jobs' THEN s[3] END ELSE s[2] END AS j FROM r), "
+    f"k AS (SELECT CASE WHEN NOT web THEN NULL WHEN a IS NOT NULL AND regexp_full_match(b, '{_TOKEN}') AND CASE WHEN a = 'greenhouse' THEN regexp_full_match(j, '{_DIGITS}') ELSE regexp_full_match(j, '{_UUID}') END THEN 'posting' WHEN a IS NOT NULL AND regexp_full_match(b, '{_TOKEN}') AND CASE WHEN e THEN j = '' ELSE s[2] IS NULL END THEN 'board' WHEN a IS NULL AND regexp_full_match(jid, '{_DIGITS}') THEN 'embed' ELSE 'external' END AS kind, a FROM q) SELECT kind, CASE WHEN kind IS NOT NULL THEN a END AS ats, count(*) AS n FROM k GROUP BY 1, 2",
+    "html_text": f"WITH d AS (SELECT DISTINCT job_id, content_html FROM greenhouse_jobs), t AS (SELECT job_id, content_html, regexp_replace(regexp_replace({_DECODED.format('content_html')}, '</?({_BLOCK_TAGS})\\b[^>]*>', chr(10), 'gi'), '</?[A-Za-z][^>]*>', '', 'g') AS x FROM d) "
+    f"SELECT job_id, CASE WHEN content_html IS NULL THEN NULL ELSE coalesce(array_to_string(list_filter(list_transform(string_split({_DECODED.format('x')}, chr(10)), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)), '') END AS text FROM t",
+    # FNV-1a of shingles of three words by 128-bit integers, the majority of each bit, then the first earlier near row and its root
+    "repost_fetches": f"WITH RECURSIVE d AS (SELECT DISTINCT job_id || '@' || CAST(floor(epoch(fetched_at)) AS BIGINT) AS row_id, CAST(floor(epoch(fetched_at)) AS BIGINT) AS first_seen, {sql_norm('company_name')} AS c, {sql_norm('title')} AS t, {sql_norm("coalesce(location_name, '')")} AS l, content_html FROM greenhouse_jobs WHERE job_id IS NOT NULL AND fetched_at IS NOT NULL AND company_name IS NOT NULL AND title IS NOT NULL AND content_html IS NOT NULL), "
+    f"x AS (SELECT content_html, list_filter(string_split({sql_norm(_DECODED.format(_STRIPPED))}, ' '), lambda w: w <> '') AS w FROM (SELECT DISTINCT content_html FROM d)), s AS (SELECT content_html, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: hex(encode(array_to_string(w[i:i + 2], ' '))))) AS b FROM x WHERE len(w) > 0), "
+    "h AS (SELECT content_html, list_reduce(list_concat([14695981039346656037::UHUGEINT], list_transform(range(0, len(b) // 2), lambda i: CAST('0x' || b[2 * i + 1:2 * i + 2] AS UHUGEINT))), lambda a, v: (xor(a, v) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS v FROM s), "
+    "f AS (SELECT content_html, sum(CASE WHEN 2 * n > total THEN 1::HUGEINT << k::HUGEINT ELSE 0 END)::UBIGINT AS f FROM (SELECT content_html, k, sum((v >> k::UBIGINT) & 1::UBIGINT) AS n, count(*) AS total FROM h, range(64) AS r(k) GROUP BY ALL) GROUP BY 1), "
+    "g AS (SELECT c, t, l, f, min((first_seen, row_id)) AS head FROM d JOIN f USING (content_html) WHERE f <> 0 GROUP BY ALL), e AS (SELECT a.c, a.t, a.l, a.head, min(b.head) AS root FROM g a JOIN g b ON a.c = b.c AND a.t = b.t AND a.l = b.l AND b.head < a.head AND bit_count(xor(a.f, b.f)::HUGEINT) <= 3 GROUP BY ALL), "
+    "z AS (SELECT c, t, l, head, head AS root FROM g UNION SELECT z.c, z.t, z.l, z.head, e.root FROM z JOIN e ON z.root = e.head AND z.c = e.c AND z.t = e.t AND z.l = e.l), o AS (SELECT c, t, l, head, min(root) AS root FROM z GROUP BY ALL) "
+    "SELECT row_id, root[2] AS duplicate_of FROM d JOIN f USING (content_html) JOIN g USING (c, t, l, f) JOIN o USING (c, t, l, head) WHERE root[2] <> row_id",
+    "required_years": rf"WITH c AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[.\n!?;]')) AS clause FROM documents), m AS (SELECT doc_id, clause, unnest(regexp_extract_all(clause, '(?i)(?:^|.*?\W){_NUMBER}(?:years?|yrs?)\b[’'']?(?:\s+of\b)?.{{0,60}}?\bexperience\b')) AS stretch FROM c WHERE contains(lower(clause), 'experience')), "
+    rf"p AS (SELECT doc_id, clause, regexp_extract(stretch, '(?i)^(.*?)(\d{{1,2}}){_NUMBER[7:]}((?:years?|yrs?)\b.*)$', ['before', 'years', 'rest']) AS x FROM m), "
+    rf"k AS (SELECT doc_id, CAST(x['years'] AS INTEGER) AS years, regexp_matches(clause, '(?i)\b({'|'.join(evidence.WISHES)})\b') AS preferred FROM p WHERE NOT regexp_matches(x['rest'], '(?i)^(years?|yrs?)\s+(old|of\s+age)\b|\b(combined|collective|cumulative)\b') AND NOT regexp_matches(x['before'], '(?i)(\bour|\bwe([’'']ve|\s+have|\s+bring|\s+boast)|^\s*with|\bfor\s+{_SOFT})\s+({_SOFT}\s+)?$')) "
+    "SELECT doc_id, min_by(years, (preferred, years)) AS years, min(preferred) AS preferred FROM k GROUP BY 1",
+}
+
 QUERIES = {f.__name__: f for f in (
     phrase_match, keyword_filter, classify_first_match, work_modes, labels_normalized, freshness, distance_filter, tri_state_checks, best_verdict, listing_topk, ordered_group_concat, sole_source_anti, distinct_sorted, upsert_latest,
-    change_status, miss_close, work_queue, repost_exact, repost_simhash, coverage_rollup, derive_first_rule, theta_fanout, harvest_labels, json_fact, url_clean, url_resolve, html_text, html_links, required_years, location_entries, name_slugs, feed_items, board_postings,
+    change_status, miss_close, work_queue, repost_exact, repost_simhash, repost_fetches, coverage_rollup, derive_first_rule, theta_fanout, harvest_labels, json_fact, url_clean, url_resolve, html_text, html_links, required_years, location_entries, name_slugs, feed_items, board_postings,
 )}
