@@ -25,6 +25,50 @@ def coverage(states: DataFrame, state: str, weight: str, always: Column, section
     return out.withColumn("share", F.try_divide("covered_weight", "weight"))
 
 
+# The states of a question.
+STATES = ["answered", "suggested", "declined", "always_ask", "not_applicable", "missing", "composable"]
+# The state that a policy sets.
+POLICIES = {"decline": "declined", "always_ask": "always_ask", "not_applicable": "not_applicable"}
+
+
+def state_of(policy: Column, items: Column, verified: Column, least: Column, default_policy: Column) -> Column:
+    """Where a question stands: its policy, then what is stored, then its default policy, then missing.
+
+    items, verified: stored entries and those of them verified (1 and 0 or 1 for a single value); null where nothing is stored.
+    """
+    set_by = lambda p: F.element_at(F.create_map(*[F.lit(x) for kv in POLICIES.items() for x in kv]), p)
+    stored = F.when(verified >= F.greatest(least, F.lit(1)), "answered").when(items > 0, "suggested")
+    return F.coalesce(set_by(policy), stored, set_by(default_policy), F.lit("missing"))
+
+
+def compose(states: DataFrame, id_: str, state: str, draws_on: DataFrame) -> DataFrame:
+    """states with 'composable' for missing questions of which an entry in draws_on (id, entry) matches an answered one."""
+    met = prefix_matches(draws_on.select("entry"), "entry", states.where(F.col(state) == "answered"), id_).select("entry").distinct()
+    able = draws_on.join(met, "entry", "left_semi").select(F.col("id").alias(id_)).distinct().withColumn("_able", F.lit(True))
+    changed = F.when((F.col(state) == "missing") & F.col("_able"), "composable").otherwise(F.col(state))
+    return states.join(able, id_, "left").withColumn(state, changed).drop("_able")
+
+
+def tally(states: DataFrame, state: str, group: list[str]) -> DataFrame:
+    """How many questions of a group stand in each state; a column per state."""
+    return states.groupBy(*group).agg(*[F.count_if(F.col(state) == s).alias(s) for s in STATES], F.count("*").alias("questions"))
+
+
+def top_missing(states: DataFrame, id_: str, state: str, weight: str, n: int = 10) -> DataFrame:
+    """The heaviest missing questions, a report of n rows."""
+    return states.where(F.col(state) == "missing").select(id_, weight).orderBy(F.col(weight).desc_nulls_last(), id_).limit(n)
+
+
+def unknown_paths(stored: DataFrame, path: str, known: DataFrame, id_: str) -> DataFrame:
+    """Stored paths that no question defines."""
+    return stored.where(F.col(path).isNotNull()).join(known.select(F.col(id_).alias(path)).distinct(), path, "left_anti")
+
+
+def intake(questions: DataFrame, id_: str, rank: str) -> DataFrame:
+    """The questions that are asked first, in their order."""
+    return questions.where(F.col(rank).isNotNull()).orderBy(rank, id_)
+
+
 def first_rule(rows: DataFrame, value: str, rules: DataFrame) -> DataFrame:
     """rows with the outcome of the first rule (by position) whose ``equals`` is the row's value; null where none is.
 

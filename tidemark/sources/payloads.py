@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.html import links, to_text, unescape
+from tidemark.functions.pay import pay
+from tidemark.functions.text import job_type, work_mode
 
 # The payload schemas.
 GREENHOUSE = "struct<jobs array<struct<id bigint, title string, absolute_url string, location struct<name string>, content string, company_name string, first_published string, updated_at string, metadata array<struct<name string, value string>>>>>"
@@ -87,3 +89,92 @@ def gazetteer(spark: SparkSession, path: str) -> DataFrame:
     """A tab-separated list of cities; rows of the wrong shape are left out."""
     schema = "name string, ascii string, alternates string, lat double, lon double, country string, admin1 string, population bigint"
     return spark.read.csv(path, sep="\t", schema=schema, mode="DROPMALFORMED", quote="").where("lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180")
+
+
+#: The facts that boards state in fields of their own.
+FACTS = ["ats", "board_token", "job_id", "work_mode", "job_type", "pay"]
+# What a list feed says about sponsorship.
+SPONSORSHIP = {"Offers Sponsorship": "offered", "Does Not Offer Sponsorship": "not_offered", "U.S. Citizenship is Required": "citizenship_required"}
+# Fixed value: how the title of a hiring thread begins.
+HIRING_THREAD = "Ask HN: Who is hiring?"
+# Fixed value: the payload of a job's form.
+_ITEM = "struct<label string, required boolean, type string, fields array<struct<type string, values array<struct<label string>>>>, answer_options array<struct<label string>>>"
+FORM = f"struct<questions array<{_ITEM}>, location_questions array<{_ITEM}>, compliance array<struct<questions array<{_ITEM}>>>, demographic_questions struct<questions array<{_ITEM}>>>"
+ASHBY_PAY = "array<struct<compensationType string, interval string, currencyCode string, minValue double, maxValue double>>"
+_NO_PAY = "struct<low double, high double, currency string, period string, ceiling double>"
+
+
+def canonical_token(ats: str, token: Column) -> Column:
+    """Board tokens count in any case where the provider says so."""
+    return F.lower(token) if ats in ("greenhouse", "ashby") else token
+
+
+def _meta(metadata: Column, words: str) -> Column:
+    """The first text among the metadata whose name has the words."""
+    return F.get(F.filter(metadata, lambda m: F.lower(m["name"]).contains(words) & m["value"].isNotNull()), F.lit(0))["value"]
+
+
+def greenhouse_facts(df: DataFrame, body: str, token: Column) -> DataFrame:
+    jobs = read_body(df, body, GREENHOUSE, ["jobs.id", "jobs.title"])[0].select(token.alias("t"), F.explode("parsed.jobs").alias("j"))
+    kind = F.coalesce(job_type(_meta(F.col("j.metadata"), "employment type")), job_type(F.col("j.title")))
+    return jobs.select(F.lit("greenhouse").alias("ats"), canonical_token("greenhouse", F.col("t")).alias("board_token"), F.col("j.id").cast("string").alias("job_id"), work_mode(_meta(F.col("j.metadata"), "workplace")).alias("work_mode"), kind.alias("job_type"), F.lit(None).cast(_NO_PAY).alias("pay"))
+
+
+def lever_facts(df: DataFrame, body: str, token: Column) -> DataFrame:
+    jobs = read_body(df, body, LEVER, ["id", "text"])[0].select(token.alias("t"), F.explode("parsed").alias("j"))
+    stated = pay(F.col("j.salaryRange.min"), F.col("j.salaryRange.max"), F.col("j.salaryRange.currency"), F.col("j.salaryRange.interval"))
+    kind = F.coalesce(job_type(F.col("j.categories.commitment")), job_type(F.col("j.text")))
+    return jobs.select(F.lit("lever").alias("ats"), F.col("t").alias("board_token"), F.lower("j.id").alias("job_id"), work_mode(F.col("j.workplaceType")).alias("work_mode"), kind.alias("job_type"), stated.alias("pay"))
+
+
+def ashby_facts(df: DataFrame, body: str, token: Column) -> DataFrame:
+    """The first salary or hourly component with a readable period and an amount is the pay."""
+    schema = ASHBY.removesuffix(">>>") + f", compensation struct<summaryComponents {ASHBY_PAY}>>>>"
+    jobs = read_body(df, body, schema, ["jobs.id", "jobs.title"])[0].select(token.alias("t"), F.explode("parsed.jobs").alias("j")).where(F.coalesce(F.col("j.isListed"), F.lit(True)))
+    paid = F.transform(F.filter("j.compensation.summaryComponents", lambda c: c["compensationType"].isin("Salary", "Hourly")), lambda c: pay(c["minValue"], c["maxValue"], c["currencyCode"], c["interval"]))
+    mode = F.coalesce(work_mode(F.col("j.workplaceType")), F.when(F.col("j.isRemote"), "remote"))
+    kind = F.coalesce(job_type(F.col("j.employmentType")), job_type(F.col("j.title")))
+    return jobs.select(F.lit("ashby").alias("ats"), canonical_token("ashby", F.col("t")).alias("board_token"), F.lower("j.id").alias("job_id"), mode.alias("work_mode"), kind.alias("job_type"), F.get(F.array_compact(paid), F.lit(0)).alias("pay"))
+
+
+def sponsorship(stated: Column) -> Column:
+    """What a feed's text says about sponsorship; null for any other text."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in SPONSORSHIP.items() for x in kv]), stated)
+
+
+def listing_postings(items: DataFrame, source: str) -> DataFrame:
+    """Postings from a feed's items alone: POSTING columns, an empty description, the source in the place of a board."""
+    return items.select(F.lit("external").alias("ats"), F.lit(source).alias("board_token"), F.col("id").alias("job_id"), F.trim("company_name").alias("company_name"), F.trim("title").alias("title"), "url", "locations", F.col("date_posted").alias("published_at"), F.lit("").alias("description"))
+
+
+def is_hiring_thread(title: Column) -> Column:
+    return F.coalesce(title.startswith(HIRING_THREAD), F.lit(False))
+
+
+def submitted(df: DataFrame, body: str) -> DataFrame:
+    """item_id of what a user has submitted, in the payload's order by pos; a body of null or without a list gives none."""
+    return df.select(F.posexplode(F.from_json(F.col(body), "struct<submitted array<bigint>>")["submitted"]).alias("pos", "item_id"))
+
+
+def thread_items(df: DataFrame, body: str) -> DataFrame:
+    """One row per item body; a body of null is a missing item and gives none."""
+    return df.select(F.from_json(F.col(body), ITEM).alias("i")).where("i.id IS NOT NULL").select("i.*")
+
+
+def board_name(body: Column) -> Column:
+    """The name that a board gives itself; null for an unreadable body."""
+    return F.from_json(body, "struct<name string>")["name"]
+
+
+def job_questions(df: DataFrame, body: str) -> DataFrame:
+    """df's other columns, pos, group, label, types, options, required of every question in a job's form; groups in the payload's order, empty labels left out."""
+    form = F.from_json(F.col(body), FORM)
+    nested = {"questions": form["questions"], "location_questions": form["location_questions"], "compliance": F.flatten(F.transform(form["compliance"], lambda c: F.coalesce(c["questions"], F.array()))), "demographic_questions": form["demographic_questions"]["questions"]}
+    tagged = [F.transform(F.coalesce(items, F.array()), lambda q, name=name: F.struct(F.lit(name).alias("group"), q.alias("q"))) for name, items in nested.items()]
+    fields = F.coalesce(F.col("g.q.fields"), F.array())
+    values = F.flatten(F.transform(fields, lambda f: F.coalesce(f["values"], F.array())))
+    labels = F.transform(F.concat(values, F.coalesce(F.col("g.q.answer_options"), F.array())), lambda v: F.trim(v["label"]))
+    ordered = lambda a: F.array_sort(F.array_distinct(F.filter(a, lambda x: x.isNotNull() & (x != ""))))
+    rows = df.withColumn("_all", F.concat(*tagged)).select(*[c for c in df.columns if c != body], F.posexplode("_all").alias("pos", "g"))
+    kinds = F.concat(F.array("g.q.type"), F.transform(fields, lambda f: f["type"]))
+    return rows.select(*[c for c in df.columns if c != body], "pos", "g.group", F.trim("g.q.label").alias("label"), ordered(kinds).alias("types"), ordered(labels).alias("options"), F.coalesce("g.q.required", F.lit(False)).alias("required")).where("label <> ''")
