@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import normalize
+from tidemark.session import cut
 
 # Continents and their codes, and first words of names that are spelt out in the list.
 CONTINENTS = {"europe": "EU", "asia": "AS", "africa": "AF", "oceania": "OC", "north america": "NA", "south america": "SA"}
@@ -140,7 +141,7 @@ def decide_parts(triples: DataFrame, d: Dimensions) -> DataFrame:
     two = F.struct(F.col("rest").alias("part"), F.col("country").alias("next"), none.alias("after"))
     coded = coded.select("whole", F.when(F.col("code").isNotNull() & F.col("rest").contains("-"), three).otherwise(two).alias("x")).select("whole", "x.*")
     behind = base.select("part").distinct().where(F.col("part").rlike("\\S \\S+$")).select(F.col("part").alias("whole"), F.regexp_extract("part", "^(.*) (\\S+)$", 1).alias("part"), F.regexp_extract("part", "^(.*) (\\S+)$", 2).alias("next"), none.alias("after"))
-    all_of = _decide(base.unionByName(coded.drop("whole")).unionByName(behind.drop("whole")).distinct(), d)
+    all_of = cut(_decide(base.unionByName(coded.drop("whole")).unionByName(behind.drop("whole")).distinct(), d))
     inner = lambda split, ok: split.alias("s").join(all_of.where(ok).alias("t"), F.expr(_same("s", "t"))).groupBy(F.col("s.whole").alias("part")).agg(F.max("t.found").alias("found"))
     rows = base.alias("b").join(all_of.alias("t"), F.expr(_same("b", "t"))).select("b.*", "t.used", "t.found")
     rows = rows.join(inner(coded, "used > 0").withColumnRenamed("found", "as_code"), "part", "left").join(inner(behind, "used = 2").withColumnRenamed("found", "as_tail"), "part", "left")
