@@ -170,7 +170,8 @@ def job_questions(df: DataFrame, body: str) -> DataFrame:
     """df's other columns, pos, group, label, types, options, required of every question in a job's form; groups in the payload's order, empty labels left out."""
     form = F.from_json(F.col(body), FORM)
     nested = {"questions": form["questions"], "location_questions": form["location_questions"], "compliance": F.flatten(F.transform(form["compliance"], lambda c: F.coalesce(c["questions"], F.array()))), "demographic_questions": form["demographic_questions"]["questions"]}
-    tagged = [F.transform(F.coalesce(items, F.array()), lambda q, name=name: F.struct(F.lit(name).alias("group"), q.alias("q"))) for name, items in nested.items()]
+    tag = lambda items, name: F.transform(F.coalesce(items, F.array()), lambda q: F.struct(F.lit(name).alias("group"), q.alias("q")))
+    tagged = [tag(items, name) for name, items in nested.items()]
     fields = F.coalesce(F.col("g.q.fields"), F.array())
     values = F.flatten(F.transform(fields, lambda f: F.coalesce(f["values"], F.array())))
     labels = F.transform(F.concat(values, F.coalesce(F.col("g.q.answer_options"), F.array())), lambda v: F.trim(v["label"]))
