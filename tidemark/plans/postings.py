@@ -9,6 +9,7 @@ from tidemark.functions import text, urls
 from tidemark.operators import state
 from tidemark.plans.reference import NOW, seconds, sql_has, sql_norm
 from tidemark.session import table
+from tidemark.sources.payloads import SPONSORSHIP, sponsorship
 
 KEY = ["board_token", "job_id"]
 DAY = 86400
@@ -66,17 +67,14 @@ def seen_again(spark: SparkSession, sf: str) -> DataFrame:
     return state.mark_seen(kept, _seen(spark, sf, "title"), feeds, KEY, NOW).select(*KEY, "closed_at", "missed", "last_seen")
 
 
-FEED_SPONSORSHIP = {"Offers Sponsorship": "offered", "Does Not Offer Sponsorship": "not_offered", "U.S. Citizenship is Required": "citizenship_required"}
-
-
 def feed_facts(spark: SparkSession, sf: str) -> DataFrame:
     """The feed's sponsorship set on items that have no fact from elsewhere."""
     rows = table(spark, sf, "list_feed").where("item_uuid IS NOT NULL")
     items = rows.groupBy("item_uuid").agg(F.min(F.coalesce("sponsorship", F.lit(""))).alias("lowest"), F.max(F.coalesce("sponsorship", F.lit(""))).alias("highest"), F.max(F.length("title")).alias("n"))
-    known = F.element_at(F.create_map(*[F.lit(x) for kv in FEED_SPONSORSHIP.items() for x in kv]), F.col("lowest"))
+    known = sponsorship(F.col("lowest"))
     from_text = F.col("n") > 30
     kept = items.select("item_uuid", F.when(from_text, F.coalesce(known, F.lit("unclear"))).alias("sponsorship"), F.when(from_text, "text").alias("sponsorship_source"))
-    offered = items.select("item_uuid", F.element_at(F.create_map(*[F.lit(x) for kv in FEED_SPONSORSHIP.items() for x in kv]), F.col("highest")).alias("sponsorship"))
+    offered = items.select("item_uuid", sponsorship(F.col("highest")).alias("sponsorship"))
     return state.set_fact(kept, offered, ["item_uuid"], "sponsorship")
 
 
@@ -119,6 +117,10 @@ def boards_retired(spark: SparkSession, sf: str) -> DataFrame:
     return state.retire(kept, kept.select("board_token"), _seen(spark, sf, "title"), ["board_token"], NOW)[1]
 
 
+def companies_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "companies").select("company_id", "entry_name", "ats", "board_token", "staffing_agency").orderBy("company_id")
+
+
 def urls_queued(spark: SparkSession, sf: str) -> DataFrame:
     """The cleaned addresses of comments, and those of the feed that aren't among them."""
     clean = lambda df: df.select(urls.clean_url(F.col("url")).alias("url")).where("url IS NOT NULL")
@@ -166,7 +168,7 @@ _CLEAN = (
     "CASE WHEN regexp_matches(" + _CLEAN_BASE + ", '^https?://[^/]+') THEN lower(regexp_extract(" + _CLEAN_BASE + ", '^https?://[^/]+')) || CASE WHEN regexp_full_match(" + _CLEAN_BASE + ", 'https?://[^/]+') THEN '/' ELSE regexp_replace(" + _CLEAN_BASE + ", '^https?://[^/]+', '') END"
     " || coalesce(nullif('?' || array_to_string(list_filter(string_split(CASE WHEN contains(split_part({0}, '#', 1), '?') THEN split_part(split_part({0}, '#', 1), '?', 2) ELSE '' END, '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_') AND split_part(p, '=', 1) NOT IN (" + ", ".join(f"'{t}'" for t in urls.TRACKING) + ")), '&'), '?'), '') END"
 )
-_MAPPED = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FEED_SPONSORSHIP.items()) + " END"
+_MAPPED = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SPONSORSHIP.items()) + " END"
 _PAGES = f"l AS (SELECT DISTINCT {_CLEAN.format('url')} AS url FROM (SELECT unnest(urls) AS url FROM leads)), f AS (SELECT DISTINCT {_CLEAN.format('url')} AS url FROM list_feed)"
 _HOST = "regexp_extract({}, '^https?://(?:[^/?#]*@)?([^/?#:]*)', 1)"
 
@@ -182,9 +184,10 @@ SQL = {
     "posting_listing": f"WITH {_ROWS}, s AS (SELECT board_token, job_id, nullif(title, '') AS title, closed_at, first_seen FROM {_sql_value('title, closed_at', 'true', _T, _X)} JOIN (SELECT board_token, job_id, min(first_seen) AS first_seen FROM r GROUP BY 1, 2) USING (board_token, job_id)), e AS (SELECT board_token, job_id, {sql_has(sql_norm('title'), 'senior')} AS passed FROM {_sql_value('title', _NEW, _T)} WHERE title <> ''), p AS (SELECT s.*, passed, CASE WHEN passed IS NULL THEN 'not_evaluated' WHEN passed THEN 'passed' ELSE 'filtered_out' END AS status FROM s LEFT JOIN e USING (board_token, job_id) WHERE closed_at IS NULL AND (passed IS NULL OR passed) ORDER BY first_seen DESC NULLS LAST, job_id DESC, board_token LIMIT 50) SELECT p.*, (SELECT string_agg(DISTINCT printf('delivery %02d', snapshot_no), '|' ORDER BY printf('delivery %02d', snapshot_no)) FROM r WHERE r.board_token = p.board_token AND r.job_id = p.job_id) AS sources FROM p",
     "boards_upserted": "WITH b AS (SELECT ats, board_token, max(entry_name) AS name, max(staffing_agency) AS agency FROM companies GROUP BY 1, 2), o AS (SELECT ats, board_token, max(name) AS name FROM (SELECT 'greenhouse' AS ats, board_token, company_name AS name FROM greenhouse_jobs UNION ALL SELECT 'lever', board_token, NULL FROM lever_postings UNION ALL SELECT 'ashby', board_token, NULL FROM ashby_jobs) WHERE board_token IS NOT NULL GROUP BY 1, 2) SELECT ats, board_token, CASE WHEN b.name IS NULL OR lower(b.name) = lower(board_token) THEN coalesce(o.name, b.name) ELSE b.name END AS name, agency FROM b FULL JOIN o USING (ats, board_token)",
     "boards_retired": f"WITH {_ROWS}, o AS {_sql_value('closed_at', _OLD, _X)} SELECT board_token, job_id, CASE WHEN closed_at IS NULL AND board_token NOT IN (SELECT board_token FROM r WHERE {_NEW}) THEN {NOW} ELSE closed_at END AS closed_at FROM o",
+    "companies_by_id": "SELECT company_id, entry_name, ats, board_token, staffing_agency FROM companies ORDER BY company_id",
     "urls_queued": f"WITH l AS (SELECT DISTINCT {_CLEAN.format('url')} AS url FROM (SELECT unnest(urls) AS url FROM leads)), f AS (SELECT DISTINCT {_CLEAN.format('url')} AS url FROM list_feed) SELECT url, 'leads' AS found_in FROM l WHERE url IS NOT NULL UNION ALL SELECT url, 'list_feed' FROM f WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM l WHERE url IS NOT NULL)",
     "probes_cached": f"SELECT * FROM (SELECT company_name, max(CAST(floor(epoch(fetched_at)) AS BIGINT)) AS probed_at, max(coalesce(active, false)) AS hit FROM list_feed WHERE company_name IS NOT NULL GROUP BY 1) WHERE hit OR probed_at >= {NOW - 60 * DAY}",
     "listings_attached": f"WITH {_PAGES} SELECT fate, count(*) AS n FROM (SELECT CASE WHEN url IN (SELECT url FROM l WHERE url IS NOT NULL) THEN 'attach' WHEN {_HOST.format('url')} IN (SELECT {_HOST.format('url')} FROM l WHERE url IS NOT NULL) THEN 'drop' ELSE 'stand_in' END AS fate FROM f WHERE url IS NOT NULL) GROUP BY 1",
 }
 
-QUERIES = {f.__name__: f for f in (posting_upsert, sources_known, board_reconcile, seen_again, feed_facts, open_postings, evaluations_saved, posting_listing, boards_upserted, boards_retired, urls_queued, probes_cached, listings_attached, run_counts)}
+QUERIES = {f.__name__: f for f in (posting_upsert, sources_known, board_reconcile, seen_again, feed_facts, open_postings, evaluations_saved, posting_listing, boards_upserted, boards_retired, companies_by_id, urls_queued, probes_cached, listings_attached, run_counts)}
