@@ -311,6 +311,19 @@ SQL |= {
     "SELECT doc_id, min_by(years, (preferred, years)) AS years, min(preferred) AS preferred FROM k GROUP BY 1",
 }
 
+_MODE_RE = "(?i)\\b(?:" + "|".join(w.replace(" ", "[ -]+") for w in sorted(places.MODE_WORDS, key=len, reverse=True)) + ")\\b"
+_WORD_RE = lambda w: "(?i)\\b" + w.replace(" ", "[ -]+") + "\\b"
+_MODES_OF = ", ".join(f"CASE WHEN regexp_matches(e, '{_WORD_RE(w)}') THEN '{m}' END" for w, m in places.MODE_WORDS.items() if m)
+_ANYWHERE = " OR ".join(f"regexp_matches(e, '{_WORD_RE(w)}')" for w in sorted(places.ANYWHERE))
+_SITE = "|".join(sorted(places.SITES, key=len, reverse=True))
+SQL |= {
+    "location_entries": "WITH v AS (SELECT DISTINCT categories.location_name AS location FROM lever_postings WHERE categories.location_name IS NOT NULL), s AS (SELECT location, list_filter(list_transform(regexp_split_to_array(location, '[;|\\n]| / | or '), lambda x: trim(x)), lambda x: x <> '') AS es FROM v), "
+    "n AS (SELECT location, CAST(i AS INTEGER) AS pos, es[i + 1] AS e FROM s, unnest(range(len(es))) AS r(i)), "
+    f"p AS (SELECT *, list_transform(regexp_split_to_array(regexp_replace(e, '{_MODE_RE}', ',', 'g'), '[,()–—•·]| - '), lambda x: trim(regexp_replace(regexp_replace(trim(x, chr(9) || ' -/:.'), '(?i)^(?:based )?in\\s+(\\S)', '\\1'), '(?i)(\\S)\\s+(?:{_SITE})$', '\\1'))) AS ps FROM n) "
+    # the first of each mode in the order of the words
+    f"SELECT location, pos, array_to_string(list_reduce(list_concat([[]::VARCHAR[]], list_transform(list_filter([{_MODES_OF}], lambda m: m IS NOT NULL), lambda m: [m])), lambda a, m: CASE WHEN list_contains(a, m[1]) THEN a ELSE list_concat(a, m) END), ',') AS modes, {_ANYWHERE} AS anywhere, array_to_string(list_filter(ps, lambda x: x <> '' AND lower(x) NOT IN ({', '.join(repr(w) for w in sorted(places.NOTHING))})), '|') AS parts FROM p",
+}
+
 QUERIES = {f.__name__: f for f in (
     phrase_match, keyword_filter, classify_first_match, work_modes, labels_normalized, freshness, distance_filter, tri_state_checks, best_verdict, listing_topk, ordered_group_concat, sole_source_anti, distinct_sorted, upsert_latest,
     change_status, miss_close, work_queue, repost_exact, repost_simhash, repost_fetches, coverage_rollup, derive_first_rule, theta_fanout, harvest_labels, json_fact, url_clean, url_resolve, html_text, html_links, required_years, location_entries, name_slugs, feed_items, board_postings,
