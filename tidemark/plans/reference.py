@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import names, text, urls
 from tidemark.functions.html import links, to_text
 from tidemark.operators import evidence, places, rollup, rules, state
-from tidemark.session import table
+from tidemark.session import salted_join, table
 
 # The clock of every query that asks for an age: 2026-11-01 in seconds.
 NOW = 1793491200
@@ -136,9 +136,11 @@ def work_queue(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def repost_exact(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "source", F.md5(text.normalize(F.col("text"))).alias("h"))
-    first = docs.groupBy("source", "h").agg(F.min("doc_id").alias("root"), F.count("*").alias("n")).where("n > 1")
-    return docs.alias("d").join(first.alias("f"), F.expr("d.h = f.h AND d.source <=> f.source")).where("doc_id <> root").select("doc_id", "root")
+    """Documents whose words an earlier one of their source has; a much copied text is spread over the salts."""
+    key = F.md5(F.concat_ws("\x1f", F.coalesce("source", F.lit("\x1e")), text.normalize(F.col("text"))))
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", key.alias("key"))
+    first = docs.groupBy("key").agg(F.min("doc_id").alias("root"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return salted_join(docs, first, ["key"], F.col("doc_id"), how="inner").where("doc_id <> root").select("doc_id", "root")
 
 
 def _repost_keys(jobs: DataFrame, *columns: Column) -> DataFrame:
